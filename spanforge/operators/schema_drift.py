@@ -95,18 +95,21 @@ def scores(schema: DataFrame, sketch: DataFrame, prev: DataFrame, dictionary: Da
     canon = dictionary.select(F.col("field").alias("field")).where(F.col("field").isNotNull()).distinct()
     names = schema.groupBy("name").agg(F.count(F.lit(1)).alias("files"))
     other = names.join(canon, names["name"] == canon["field"], "left_anti")
-    q = sketch.join(F.broadcast(canon), sketch["name"] == canon["field"], "left_semi").select(F.col("name").alias("field"), "token", F.col("share").alias("q"))
+    q = sketch.join(canon, sketch["name"] == canon["field"], "left_semi").select(F.col("name").alias("field"), "token", F.col("share").alias("q"))
     overlap = sketch.join(q, "token").groupBy("name", "field").agg(F.sum(F.least("share", "q")).alias("values"))
 
     sets = schema.groupBy("file_id").agg(F.collect_set("name").alias("names"))  # names of one file, not of a group
-    beside = sets.select(F.explode("names").alias("name"), "names").join(F.broadcast(canon), F.array_contains("names", F.col("field"))).groupBy("name", "field").agg(F.count(F.lit(1)).alias("together"))
+    known = schema.join(canon, schema["name"] == canon["field"]).groupBy("file_id").agg(F.collect_set("field").alias("fields"))
+    beside = schema.select("file_id", "name").join(known, "file_id").select("name", F.explode("fields").alias("field")).groupBy("name", "field").agg(F.count(F.lit(1)).alias("together"))
     pairs = prev.join(sets, "file_id").join(sets.select(F.col("file_id").alias("prev_id"), F.col("names").alias("was")), "prev_id")
     gone, fresh = F.array_except("was", "names"), F.array_except("names", "was")
     swaps = pairs.select(F.explode(F.array(F.struct(gone.alias("x"), fresh.alias("y")), F.struct(fresh.alias("x"), gone.alias("y")))).alias("s")).select(F.explode("s.x").alias("name"), F.col("s.y").alias("ys"))
     moves = swaps.groupBy("name").agg(F.count(F.lit(1)).alias("moves"))
     follow = swaps.select("name", F.explode("ys").alias("field")).groupBy("name", "field").agg(F.count(F.lit(1)).alias("follows"))
 
-    s = other.join(F.broadcast(canon)).join(overlap, ["name", "field"], "left").join(beside, ["name", "field"], "left").join(follow, ["name", "field"], "left").join(moves, "name", "left")
+    # a pair with neither common values nor a succession stays below the least score, whatever its names
+    s = overlap.join(follow, ["name", "field"], "full_outer").join(canon, "field", "left_semi").join(other, "name")
+    s = s.join(beside, ["name", "field"], "left").join(moves, "name", "left")
     wv, wn, ws = WEIGHTS
     score = wv * F.coalesce("values", F.lit(0.0)) + wn * _similar_names(F.col("name"), F.col("field")) + ws * F.coalesce(F.try_divide("follows", "moves"), F.lit(0.0))
     return s.where(F.coalesce("together", F.lit(0)) <= BESIDE * F.col("files")).select("name", "field", score.alias("score")).where(F.col("score") >= LEAST)
