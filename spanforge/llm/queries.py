@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, packing, quantiles
+from spanforge.llm import bpe, packing, quantiles, reading
 from spanforge.runtime import table
 
 
@@ -57,8 +57,18 @@ def p7_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf, "documents")), table(spark, sf, "pack_capacity"))
 
 
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading level and band of the own prose of every post that has one."""
+    return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts whose own prose is of band 3."""
+    return p8_levels(spark, sf).where(F.col("band") == 3).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_readcount_percentiles, p6_ids, p7_assignment)}
+    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_readcount_percentiles, p6_ids, p7_assignment, p8_levels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
