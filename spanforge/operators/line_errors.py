@@ -25,6 +25,7 @@ from spanforge.runtime import materialize, sized_broadcast
 REASONS = ("quoting", "column_count", "invalid_value")
 _TOKEN = r'(?s)\t|"|[^\t"]+'
 _START, _PLAIN, _QUOTED, _AFTER = range(4)
+_ENDS = ("chrom", "start", "end", "strand")
 
 
 def _step(state: int, t: str) -> tuple[int, bool] | None:
@@ -105,7 +106,7 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
     """Data lines with their verdict.
 
     lines: file_id, line_no, line. files: file_id, kind, column_list, n_columns. contigs: chrom, chr_name, length.
-    Returns file_id, line_no, kind, fields (null unless the line parses), quote_edits, delimiter_edits, reason
+    Returns file_id, line_no, kind, column_list, fields (null unless the line parses), quote_edits, delimiter_edits, reason
     (null for lines that load, else one of REASONS).
     """
     fl = files.select(F.col("file_id").alias("file_id"), "kind", "column_list", "n_columns").dropDuplicates(["file_id"])
@@ -131,12 +132,14 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
     return _typed(plain.unionByName(q), contigs)
 
 
-def _typed(parsed: DataFrame, contigs: DataFrame) -> DataFrame:
-    names = F.split("column_list", ",")
+def _at(name: str) -> Column:
+    """The field of this name, null where the layout has none."""
+    p = F.array_position(F.split("column_list", ","), name)
+    return F.when(p > 0, F.try_element_at("fields", p.cast("int")))
+
 
-    def at(name: str) -> Column:
-        p = F.array_position(names, name)
-        return F.when(p > 0, F.try_element_at("fields", p.cast("int")))
+def _typed(parsed: DataFrame, contigs: DataFrame) -> DataFrame:
+    names, at = F.split("column_list", ","), _at
 
     first, second = F.coalesce(at("chrom"), at("chrom1")), at("chrom2")
     known = contigs.select(F.explode(F.array_distinct(F.array("chrom", "chr_name"))).alias("name"), "length").where(F.col("name").isNotNull()).groupBy("name").agg(F.max("length").alias("length"))
@@ -154,7 +157,7 @@ def _typed(parsed: DataFrame, contigs: DataFrame) -> DataFrame:
     strand_ok = F.forall("strands", lambda x: x.isin("+", "-") | (~paired & (x == ".")))
     valid = span_ok("1") & (~paired | span_ok("2")) & strand_ok
     reason = F.when(F.col("quote_edits") > 0, REASONS[0]).when(F.col("delimiter_edits") > 0, REASONS[1]).when(F.coalesce(valid, F.lit(False)), F.lit(None)).otherwise(REASONS[2])
-    return out.select("file_id", "line_no", "kind", "fields", "quote_edits", "delimiter_edits", reason.alias("reason"))
+    return out.select("file_id", "line_no", "kind", "column_list", "fields", "quote_edits", "delimiter_edits", reason.alias("reason"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -166,5 +169,19 @@ def loaded(parsed: DataFrame, kind: str, column_list: str) -> DataFrame:
     """The lines of one kind and layout that load, as a typed table."""
     names = column_list.split(",")
     types = {n: "bigint" for n in names if n.rstrip("12") in ("start", "end")}
-    rows = parsed.where(F.col("reason").isNull() & (F.col("kind") == kind) & (F.size("fields") == len(names)))
+    rows = parsed.where(F.col("reason").isNull() & (F.col("kind") == kind) & (F.col("column_list") == column_list))
     return rows.select("file_id", "line_no", *[F.element_at("fields", i + 1).cast(types.get(n, "string")).alias(n) for i, n in enumerate(names)])
+
+
+def loaded_all(parsed: DataFrame) -> DataFrame:
+    """The lines of every kind and layout that load, as one table.
+
+    file_id, line_no, kind, column_list, the typed fields of both ends (bed has only the first), and ``others``, the
+    remaining fields with their names in the order of the line; these are free, so they stay text.
+    """
+    rows = parsed.where(F.col("reason").isNull())
+    ends = [F.coalesce(_at(n), _at(f"{n}1")).cast("bigint" if n in ("start", "end") else "string").alias(f"{n}1") for n in _ENDS]
+    ends += [_at(f"{n}2").cast("bigint" if n in ("start", "end") else "string").alias(f"{n}2") for n in _ENDS]
+    known = [x for n in _ENDS for x in (n, f"{n}1", f"{n}2")]
+    others = F.filter(F.arrays_zip(F.split("column_list", ",").alias("name"), F.col("fields").alias("value")), lambda x: ~F.coalesce(x["name"].isin(known), F.lit(False)))
+    return rows.select("file_id", "line_no", "kind", "column_list", *ends, others.cast("array<struct<name:string,value:string>>").alias("others"))

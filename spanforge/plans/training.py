@@ -35,6 +35,11 @@ def p3_loaded_bed(spark: SparkSession, sf: str) -> DataFrame:
     return line_errors.loaded(_lines(spark, sf), "bed", "chrom,start,end,name,score,strand")
 
 
+def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines that load, of every layout: with p3_found, all data lines."""
+    return line_errors.loaded_all(_lines(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of the schema between successive files of a feed."""
     return schema_drift.drift(table(spark, sf, "vep_records"), table(spark, sf, "vep_files"), table(spark, sf, "vep_fields"))[1]
@@ -62,7 +67,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_loaded_bed, p4_found, p4_unified, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_loaded_bed, p3_loaded, p4_found, p4_unified, p5_found)}
 
 
 _P5_SOURCE = """
