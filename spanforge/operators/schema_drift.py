@@ -193,19 +193,38 @@ def drift(records: DataFrame, files: DataFrame, dictionary: DataFrame) -> tuple[
 def unified_table(records: DataFrame, unified: DataFrame, dictionary_rows: list[tuple[str, str]]) -> DataFrame:
     """All records under the canonical fields, typed as the dictionary says, with what is in no dictionary in ``other``.
 
-    Lists and objects of a text field become their texts joined by ``&``; numbers in quotes become numbers.
+    Lists and objects of a text field become their texts joined by ``&``; numbers in quotes become numbers. A value
+    that its field does not take over whole (an object with further members, a text in a number field) stands in
+    ``other`` too, as it is in the record and under the name it has there.
     """
     names = unified.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
     r = records.select("file_id", "row_no", F.from_json("payload", "map<string,string>").alias("cells")).join(names, "file_id", "left")
 
+    def raw(field: str) -> Column:
+        return F.try_element_at("cells", F.try_element_at("names", F.lit(field)))
+
+    def terms_and_name(v: Column) -> tuple[Column, Column]:
+        obj = F.from_json(v, "struct<terms:array<string>,name:string>")
+        return F.array_join(obj["terms"], "&"), obj["name"]
+
     def column(field: str, kind: str) -> Column:
-        raw = F.try_element_at("cells", F.try_element_at("names", F.lit(field)))
+        v = raw(field)
+        if kind == "number":
+            return F.regexp_replace(v, '["\\[\\]]', "").try_cast("double").alias(field)
+        return F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), "&")).when(v.startswith("{"), F.coalesce(*terms_and_name(v), v)).otherwise(v).alias(field)
+
+    def cut(field: str, kind: str) -> Column:
+        """Whether the field takes over less than the value."""
+        v = raw(field)
         if kind == "number":
-            return F.regexp_replace(raw, '["\\[\\]]', "").try_cast("double").alias(field)
-        arr = F.from_json(raw, "array<string>")
-        obj = F.from_json(raw, "struct<terms:array<string>,name:string>")
-        return F.when(raw.startswith("["), F.array_join(arr, "&")).when(raw.startswith("{"), F.coalesce(F.array_join(obj["terms"], "&"), obj["name"])).otherwise(raw).alias(field)
+            return v.isNotNull() & F.col(field).isNull()
+        terms, name = terms_and_name(v)
+        keys = F.json_object_keys(v)
+        taken = F.when(terms.isNotNull(), "terms").when(name.isNotNull(), "name")
+        return v.startswith("{") & taken.isNotNull() & ((F.size(keys) > 1) | (keys[0] != taken))
 
     known = F.transform(F.array(*[F.lit(f) for f, _ in dictionary_rows]), lambda f: F.try_element_at("names", f))
-    other = F.map_filter("cells", lambda k, _: ~F.coalesce(F.array_contains(known, k), F.lit(False)))
-    return r.select("file_id", "row_no", *[column(f, k) for f, k in dictionary_rows], other.alias("other"))
+    r = r.select("file_id", "row_no", "cells", "names", *[column(f, k) for f, k in dictionary_rows])
+    r = r.withColumns({"_known": known, "_cut": F.array_compact(F.array(*[F.when(cut(f, k), F.try_element_at("names", F.lit(f))) for f, k in dictionary_rows]))})
+    other = F.map_filter("cells", lambda k, _: ~F.coalesce(F.array_contains("_known", k), F.lit(False)) | F.array_contains("_cut", k))
+    return r.select("file_id", "row_no", *[f for f, _ in dictionary_rows], other.alias("other"))
