@@ -38,13 +38,27 @@ def p1_depth_all_days(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(_depth_digests(spark, sf), ["sample"]), ["sample"], QUANTILES, DEPTH_STEP)
 
 
-def p1_readcount_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of the read counts per sample and allele class; copies of a row count once."""
+def _readcount_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of the read counts per sample and allele class; copies of a row count once."""
     rows = table(spark, sf, "readstats").select("variant_id", "sample", F.explode("rppcounts").alias("allele_class", "reads"))
     once = rows.where(F.col("reads").isNotNull()).groupBy("variant_id", "sample", "allele_class").agg(F.max("reads").alias("reads"))
     leaves = once.withColumn("leaf", quantiles.leaf(F.col("reads"), COUNT_STEP))
-    keys = ["sample", "allele_class"]
-    return quantiles.percentiles(quantiles.digests(leaves, keys, "leaf"), keys, QUANTILES, COUNT_STEP)
+    return quantiles.digests(leaves, ["sample", "allele_class"], "leaf")
+
+
+def p1_readcount_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the read counts per sample and allele class."""
+    return quantiles.percentiles(_readcount_digests(spark, sf), ["sample", "allele_class"], QUANTILES, COUNT_STEP)
+
+
+def p1_readcount_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The mergeable state behind p1_readcount_percentiles."""
+    return _readcount_digests(spark, sf)
+
+
+def p1_readcount_all_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the read counts per allele class, from the merged digests of the samples."""
+    return quantiles.percentiles(quantiles.merge(_readcount_digests(spark, sf), ["allele_class"]), ["allele_class"], QUANTILES, COUNT_STEP)
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +82,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_readcount_percentiles, p6_ids, p7_assignment, p8_levels, p8_found)}
+    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_readcount_percentiles, p1_readcount_digests, p1_readcount_all_samples, p6_ids, p7_assignment, p8_levels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
