@@ -114,22 +114,19 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
     data = body.join(fl, "file_id", "left").where(is_data(F.col("line"), F.col("column_list")))
     data = data.withColumn("n_columns", F.coalesce("n_columns", F.lit(-1)))
 
-    quoted = F.instr("line", '"') > 0
-    plain = data.where(~quoted).withColumn("fields", F.split("line", "\t"))
-    off = F.abs(F.size("fields") - F.col("n_columns"))
-    plain = plain.select("file_id", "line_no", "kind", "column_list", F.when(off == 0, F.col("fields")).alias("fields"), F.lit(0).alias("quote_edits"), off.cast("int").alias("delimiter_edits"))
-
-    q = data.where(quoted).withColumn("shape", F.regexp_replace("line", r'[^\t"]+', "x"))
-    shapes = materialize(q.select("shape", "n_columns").distinct().mapInPandas(_resolve, "shape string, n_columns int, quote_edits int, delimiter_edits int, slices array<struct<first:int,len:int,quoted:boolean>>"))
+    data = data.withColumn("shape", F.regexp_replace("line", r'[^\t"]+', "x"))
+    shapes = materialize(data.select("shape", "n_columns").distinct().mapInPandas(_resolve, "shape string, n_columns int, quote_edits int, delimiter_edits int, slices array<struct<first:int,len:int,quoted:boolean>>"))
     toks = F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0))
 
     def value(s: Column) -> Column:
         raw = F.array_join(F.slice(F.col("toks"), s["first"], s["len"]), "")
         return F.when(s["quoted"], F.replace(raw, F.lit('""'), F.lit('"'))).otherwise(raw)
 
-    q = q.join(sized_broadcast(shapes), ["shape", "n_columns"]).withColumn("toks", toks)
-    q = q.select("file_id", "line_no", "kind", "column_list", F.when(F.col("slices").isNotNull(), F.transform("slices", value)).alias("fields"), "quote_edits", "delimiter_edits")
-    return _typed(plain.unionByName(q), contigs)
+    # only the cutting differs: where no quote stands, the slices are what lies between the tabs
+    resolved = data.join(sized_broadcast(shapes), ["shape", "n_columns"])
+    cut = F.when(F.instr("line", '"') == 0, F.split("line", "\t")).otherwise(F.transform("slices", value))
+    resolved = resolved.withColumn("toks", F.when(F.instr("line", '"') > 0, toks))
+    return _typed(resolved.select("file_id", "line_no", "kind", "column_list", F.when(F.col("slices").isNotNull(), cut).alias("fields"), "quote_edits", "delimiter_edits"), contigs)
 
 
 def _at(name: str) -> Column:

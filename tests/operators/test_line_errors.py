@@ -34,3 +34,11 @@ def test_loaded_and_rejected_are_all_data_lines(spark):
 
 def test_layouts_of_equal_width_are_kept_apart(spark):
     assert [r.file_id for r in line_errors.loaded(_parsed(spark), "bed", "chrom,start,end,name").collect()] == [3]
+
+
+def test_unquoted_shapes_go_through_the_program(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_errors, "materialize", lambda df: seen.append(df) or df)
+    _parsed(spark)
+    got = {(r.shape, r.n_columns, r.delimiter_edits) for r in seen[0].collect()}
+    assert got >= {("x\tx\tx", 3, 0), ("x\tx\tx", 9, 6), ('x\tx\tx\t"x""x"""', 4, 0)}
