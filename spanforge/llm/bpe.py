@@ -1,10 +1,12 @@
 """Encoding a whole corpus with the byte-level BPE of a public tokenizer, by merge replay.
 
-Instead of encoding word by word, the distinct words of a partition are laid out as one array of tokens. An inverted
-index leads from every mergeable token pair to the positions where it stands; the merges present are replayed in rank
-order over the whole array, and only the neighbours of a merged position are touched. Every word is encoded once per
-worker, whatever its frequency; the documents then take their ids by word number. The plan is map-only: no shuffle,
-no collection; the merge table (50,000 pairs) is broadcast.
+Instead of encoding word by word, the words that are new in a slice of at most 2,000 rows are laid out as one array of
+tokens. An inverted index leads from every mergeable token pair to the positions where it stands; the merges present
+are replayed in rank order over the whole array, and only the neighbours of a merged position are touched. Words stay
+known to the worker from slice to slice and task to task, until more than CACHE_WORDS chunks are known and all are
+forgotten, so a word is encoded again after that and on other workers; no index spans a partition or the corpus. The
+documents take their ids by word number. The plan is map-only: no shuffle, no collection; the merge table (50,000
+pairs) is broadcast.
 
 Defined results: null, empty texts give an empty list; text that looks like a special token is plain text; texts of
 any length are encoded whole; repeated rows come out repeatedly.
