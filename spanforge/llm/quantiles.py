@@ -7,8 +7,9 @@ three hold at most n/k together, so an inner node never holds more than n/k and
 ``HEIGHT * n/k <= eps * n``; a digest has at most 3k nodes. Digests are merged by adding counts node by node, which
 keeps the bound, whatever the order: partitions, days and loads combine.
 
-Every input partition builds its own digests, which are merged in a reduction tree; no task ever receives more than
-FAN_IN digests of a group, however many rows the group has.
+Every input partition builds its own digests (one more for every FLUSH rows). They are merged in two levels, first the
+partitions of one salt, then the SALTS of a group; at each level the digests of a group are added up one after the
+other, so that a task holds few of them however many rows, partitions or digests a group has.
 
 Defined results: null and NaN are no values, nor are infinities; a group without values has no row; null group keys
 form a group; groups of at most k values are exact up to quantization; an empty table gives no rows.
@@ -22,14 +23,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.runtime import bounded_slices
+
 LINEAR_BITS = 20
 #: Height of the tree: codes stay below 2**30 in size for all doubles, and carry a sign.
 HEIGHT = 31
 EPS = 0.005
-FAN_IN = 32
+#: Digests of one group that the second level of merging gets; rows after which a partition closes a digest; bytes that a
+#: task adds up at once.
+SALTS, FLUSH, STEP = 64, 500_000, 32 << 20
 _M, _HALF = 1 << LINEAR_BITS, 1 << (LINEAR_BITS - 1)
 
 
@@ -40,11 +46,14 @@ def compression(eps: float = EPS) -> int:
 
 def leaf(value: Column, resolution: float) -> Column:
     """Place of a value in the ordered universe, 0 .. 2**HEIGHT - 1; null for what is no value."""
-    v = value.cast("double")
-    u = F.abs(v) / F.lit(float(resolution))
-    e = F.greatest(F.floor(F.log2(u)) - F.lit(LINEAR_BITS - 1), F.lit(1)).cast("int")
-    code = F.when(u < _M - 0.5, F.rint(u)).otherwise(F.lit(_M) + (e - 1) * F.lit(_HALF) + F.floor(u / F.pow(F.lit(2.0), e)) - F.lit(_HALF)).cast("long")
-    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    raw = value.cast("double")
+    ok = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != float("inf"))
+    v = F.when(ok, raw)
+    a, step = F.abs(v), F.lit(float(resolution))
+    # the logarithm of the quotient, not the quotient, which overflows for the largest doubles
+    e = F.greatest(F.floor(F.log2(a) - F.lit(math.log2(resolution))) - F.lit(LINEAR_BITS - 1), F.lit(1)).cast("int")
+    wide = F.lit(_M) + (e - 1) * F.lit(_HALF) + F.floor(a / F.pow(F.lit(2.0), e) / step) - F.lit(_HALF)
+    code = F.when(a < (_M - 0.5) * resolution, F.rint(a / step)).otherwise(wide).cast("long")
     return F.when(ok, F.when(v < 0, -code).otherwise(code) + F.lit(1 << (HEIGHT - 1)))
 
 
@@ -53,8 +62,8 @@ def value_of(leaves: np.ndarray, resolution: float) -> np.ndarray:
     c = leaves.astype(np.int64) - (1 << (HEIGHT - 1))
     a = np.abs(c)
     e = np.maximum((a - _M) // _HALF + 1, 1)
-    wide = np.ldexp(((a - _M) % _HALF + _HALF).astype(float) + 0.5, e)
-    return np.sign(c) * np.where(a < _M, a.astype(float), wide) * resolution
+    wide = np.ldexp((((a - _M) % _HALF + _HALF).astype(float) + 0.5) * resolution, e)
+    return np.sign(c) * np.where(a < _M, a.astype(float) * resolution, wide)
 
 
 def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +108,10 @@ def _add(g: np.ndarray, v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
     return key >> (HEIGHT + 1), key & ((1 << (HEIGHT + 1)) - 1), total
 
 
-def _rows(keys: pa.Table, g: np.ndarray, v: np.ndarray, c: np.ndarray) -> pa.Table:
-    offsets = pa.array(np.searchsorted(g, np.arange(len(keys) + 1)).astype(np.int32))
-    return keys.append_column("nodes", pa.ListArray.from_arrays(offsets, pa.array(v))).append_column("counts", pa.ListArray.from_arrays(offsets, pa.array(c)))
+def _rows(keys: pa.Table, g: np.ndarray, v: np.ndarray, c: np.ndarray, n: int) -> pa.Table:
+    offsets = pa.array(np.searchsorted(g, np.arange(n + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (v, c)]
+    return pa.table([*keys.columns, *lists], names=[*keys.column_names, "nodes", "counts"])
 
 
 def _numbered(t: pa.Table, keys: list[str]) -> tuple[pa.Table, np.ndarray]:
@@ -122,38 +132,66 @@ def digests(df: DataFrame, keys: Sequence[str], leaves: str, eps: float = EPS) -
         def flush(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(part)
             groups, number = _numbered(t, keys)
-            yield from _rows(groups, *compress(number, t["_leaf"].to_numpy() + (1 << HEIGHT), np.ones(len(t), np.int64), k)).combine_chunks().to_batches()
+            yield from _rows(groups, *compress(number, t["_leaf"].to_numpy() + (1 << HEIGHT), np.ones(len(t), np.int64), k), n=len(groups)).combine_chunks().to_batches()
 
         part: list[pa.RecordBatch] = []
         for b in batches:
             if b.num_rows:
                 part.append(b)
-            if sum(x.num_rows for x in part) >= 500_000:
+            if sum(x.num_rows for x in part) >= FLUSH:
                 yield from flush(part)
                 part = []
         if part:
             yield from flush(part)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", nodes array<bigint>, counts array<bigint>"
-    out = rows.mapInArrow(build, schema)
-    # the number of partial digests of a group is that of the tasks; two levels take FAN_IN**2 of them
-    salted = out.withColumn("_salt", F.spark_partition_id() % F.lit(FAN_IN))
-    return merge(merge(salted, [*keys, "_salt"], eps), keys, eps) if rows.rdd.getNumPartitions() > FAN_IN else merge(out, keys, eps)
+    out = rows.mapInArrow(build, schema).withColumn("_salt", F.spark_partition_id() % F.lit(SALTS))
+    return merge(merge(out, [*keys, "_salt"], eps), keys, eps)
 
 
 def merge(parts: DataFrame, keys: Sequence[str], eps: float = EPS) -> DataFrame:
-    """One digest per key out of several: of partitions, days or loads."""
+    """One digest per key out of several: of partitions, days or loads.
+
+    The digests of a key come one after the other and are added up as they come; a task holds what one Arrow batch
+    brings, in steps of STEP bytes, and one digest that is still open.
+    """
     keys, k = list(keys), compression(eps)
-    both = parts.groupBy(*keys).agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("counts")).alias("counts"))
+    rows = parts.select(*keys, "nodes", "counts").repartition(*keys).sortWithinPartitions(*keys) if keys else parts.select("nodes", "counts").coalesce(1)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v, c = b.column("nodes"), b.column("counts")
-            g = np.repeat(np.arange(b.num_rows), v.value_lengths().to_numpy())
-            rest = pa.Table.from_batches([b]).select(keys)
-            yield from _rows(rest, *compress(g, v.flatten().to_numpy(), c.flatten().to_numpy(), k)).combine_chunks().to_batches()
-
-    return both.mapInArrow(add, both.schema)
+        opened: pa.RecordBatch | None = None
+        for batch in batches:
+            for b in bounded_slices(batch, STEP):
+                if not b.num_rows:
+                    continue
+                if opened is not None:
+                    b = pa.Table.from_batches([opened, b]).combine_chunks().to_batches()[0]
+                done = added(b)
+                opened = done.slice(done.num_rows - 1)
+                if done.num_rows > 1:
+                    yield done.slice(0, done.num_rows - 1)
+        if opened is not None:
+            yield opened
+
+    def added(b: pa.RecordBatch) -> pa.RecordBatch:
+        new = np.ones(b.num_rows, bool)
+        if keys:
+            new[1:] = False
+            for name in keys:
+                c = b.column(name)
+                same = pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False)
+                both = pc.and_(c.slice(1).is_null(), c.slice(0, len(c) - 1).is_null()).to_numpy(zero_copy_only=False)
+                new[1:] |= ~(same | both)
+        else:
+            new[1:] = False
+        group = np.cumsum(new) - 1
+        v, c = b.column("nodes"), b.column("counts")
+        g = np.repeat(group, v.value_lengths().to_numpy())
+        heads = pa.Table.from_batches([b]).select(keys).take(pa.array(np.flatnonzero(new))) if keys else pa.table({"_": [0]}).select([])
+        out = _rows(heads, *compress(g, v.flatten().to_numpy(), c.flatten().to_numpy(), k), n=int(new.sum()))
+        return out.combine_chunks().to_batches()[0]
+
+    return rows.mapInArrow(add, rows.schema)
 
 
 def query(nodes: np.ndarray, counts: np.ndarray, quantiles: Sequence[float]) -> np.ndarray:

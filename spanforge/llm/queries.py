@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,19 @@ from spanforge.runtime import table
 #: Percentiles that come out.
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 DEPTH_STEP, COUNT_STEP = 0.01, 1.0
+#: Error of p1_rank_bound, at which digests of some ten thousand values compress.
+COARSE = 0.02
 
 
-def _depth_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest of depth per sample and day; copies of a bin count once (with the greatest depth, should they differ)."""
+def _depths(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of depth; copies of a bin count once (with the greatest depth, should they differ)."""
     rows = table(spark, sf, "depth_rawdata").withColumn("leaf", quantiles.leaf(F.col("depth"), DEPTH_STEP)).where(F.col("leaf").isNotNull())
-    once = rows.groupBy("run_id", "Chromosome", "Start", "sample", "run_day").agg(F.max("leaf").alias("leaf"))
-    return quantiles.digests(once, ["sample", "run_day"], "leaf")
+    return rows.groupBy("run_id", "Chromosome", "Start", "sample", "run_day").agg(F.max("leaf").alias("leaf"))
+
+
+def _depth_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of depth per sample and day."""
+    return quantiles.digests(_depths(spark, sf), ["sample", "run_day"], "leaf")
 
 
 def p1_depth_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +46,23 @@ def p1_depth_all_days(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(_depth_digests(spark, sf), ["sample"]), ["sample"], QUANTILES, DEPTH_STEP)
 
 
+def p1_rank_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the percentiles of all depths, from digests per sample that compress and are merged, keep their bound."""
+    leaves = _depths(spark, sf)
+    whole = quantiles.merge(quantiles.digests(leaves, ["sample"], "leaf", COARSE), [], COARSE)
+    state = whole.first()  # one digest
+    if state is None:
+        return spark.createDataFrame([], "quantile string, n bigint, rank_error bigint, within boolean")
+    counts = np.array(state["counts"])
+    at = quantiles.query(np.array(state["nodes"]), counts, list(QUANTILES.values()))
+    n, k = int(counts.sum()), quantiles.compression(COARSE)
+    off = n // k * quantiles.HEIGHT
+    ends = [F.struct(F.lit(name).alias("quantile"), F.lit(math.ceil(p * n - 1e-9)).alias("wanted"), F.sum((F.col("leaf") < int(x)).cast("long")).alias("lo"), F.sum((F.col("leaf") <= int(x)).cast("long")).alias("hi")) for (name, p), x in zip(QUANTILES.items(), at, strict=True)]
+    found = leaves.agg(F.array(*ends).alias("x")).select(F.inline("x"))
+    within = (F.col("wanted") >= F.col("lo") + 1 - off) & (F.col("wanted") <= F.col("hi") + off)
+    return found.select("quantile", F.lit(n).cast("long").alias("n"), F.lit(off).cast("long").alias("rank_error"), within.alias("within"))
+
+
 def _readcount_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of the read counts per sample and allele class; copies of a row count once."""
     rows = table(spark, sf, "readstats").select("variant_id", "sample", F.explode("rppcounts").alias("allele_class", "reads"))
@@ -82,11 +107,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_readcount_percentiles, p1_readcount_digests, p1_readcount_all_samples, p6_ids, p7_assignment, p8_levels, p8_found)}
+    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_rank_bound, p1_readcount_percentiles, p1_readcount_digests, p1_readcount_all_samples, p6_ids, p7_assignment, p8_levels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Exact percentiles by nearest rank: at this scale every group is below the size from which digests compress."""
+    """Exact percentiles by nearest rank: at this scale every group of the first two is below the size from which digests
+    compress; p1_rank_bound compresses."""
 
     def exact(source: str, keys: str, value: str, step: str) -> str:
         cols = ", ".join(f"round(min(CASE WHEN r >= ceil({q} * n - 1e-9) THEN v END), 9) AS {name}" for name, q in QUANTILES.items())
@@ -100,7 +126,13 @@ SELECT {keys}, max(n) AS n, {cols}, CAST(floor(max(n) / {quantiles.compression()
     reads = """SELECT variant_id, "sample", allele_class, max(reads) AS reads
                FROM (SELECT variant_id, "sample", unnest(map_keys(rppcounts)) AS allele_class, unnest(map_values(rppcounts)) AS reads FROM readstats)
                WHERE reads IS NOT NULL GROUP BY ALL"""
+    names = ", ".join(f"('{x}')" for x in QUANTILES)
     return {
+        "p1_rank_bound": f"""
+WITH once AS ({depth}), c AS (SELECT count(*) AS n FROM once)
+SELECT q AS quantile, n, CAST(floor(n / {quantiles.compression(COARSE)}) * {quantiles.HEIGHT} AS BIGINT) AS rank_error, true AS within FROM c, (VALUES {names}) AS v(q)""",
+        "p1_depth_all_days": exact(depth, '"sample"', "depth", "round_even(depth / 0.01, 0) * 0.01"),
+        "p1_readcount_all_samples": exact(reads, "allele_class", "reads", "CAST(reads AS DOUBLE)"),
         "p1_depth_percentiles": exact(depth, '"sample", run_day', "depth", "round_even(depth / 0.01, 0) * 0.01"),
         "p1_readcount_percentiles": exact(reads, '"sample", allele_class', "reads", "CAST(reads AS DOUBLE)"),
     }
