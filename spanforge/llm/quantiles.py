@@ -46,15 +46,13 @@ def compression(eps: float = EPS) -> int:
 
 def leaf(value: Column, resolution: float) -> Column:
     """Place of a value in the ordered universe, 0 .. 2**HEIGHT - 1; null for what is no value."""
-    raw = value.cast("double")
-    ok = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != float("inf"))
-    v = F.when(ok, raw)
-    a, step = F.abs(v), F.lit(float(resolution))
+    v, step = value.cast("double"), F.lit(float(resolution))
+    a, zero = F.abs(v), F.lit(1 << (HEIGHT - 1))
     # the logarithm of the quotient, not the quotient, which overflows for the largest doubles
     e = F.greatest(F.floor(F.log2(a) - F.lit(math.log2(resolution))) - F.lit(LINEAR_BITS - 1), F.lit(1)).cast("int")
     wide = F.lit(_M) + (e - 1) * F.lit(_HALF) + F.floor(a / F.pow(F.lit(2.0), e) / step) - F.lit(_HALF)
-    code = F.when(a < (_M - 0.5) * resolution, F.rint(a / step)).otherwise(wide).cast("long")
-    return F.when(ok, F.when(v < 0, -code).otherwise(code) + F.lit(1 << (HEIGHT - 1)))
+    near, none = a < (_M - 0.5) * resolution, F.isnan(v) | (a == float("inf"))
+    return F.when(near, F.rint(v / step).cast("long") + zero).when(~none, F.when(v < 0, -wide).otherwise(wide) + zero)
 
 
 def value_of(leaves: np.ndarray, resolution: float) -> np.ndarray:

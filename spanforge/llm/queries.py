@@ -22,8 +22,9 @@ COARSE = 0.02
 
 def _depths(spark: SparkSession, sf: str) -> DataFrame:
     """Leaves of depth; copies of a bin count once (with the greatest depth, should they differ)."""
-    rows = table(spark, sf, "depth_rawdata").withColumn("leaf", quantiles.leaf(F.col("depth"), DEPTH_STEP)).where(F.col("leaf").isNotNull())
-    return rows.groupBy("run_id", "Chromosome", "Start", "sample", "run_day").agg(F.max("leaf").alias("leaf"))
+    rows = table(spark, sf, "depth_rawdata").where(F.abs("depth") < float("inf"))  # nor null nor NaN
+    once = rows.groupBy("run_id", "Chromosome", "Start", "sample", "run_day").agg(F.max("depth").alias("depth"))
+    return once.select("sample", "run_day", quantiles.leaf(F.col("depth"), DEPTH_STEP).alias("leaf"))
 
 
 def _depth_digests(spark: SparkSession, sf: str) -> DataFrame:
