@@ -1,9 +1,10 @@
 """Merging overlapping intervals of an entity into continuous periods and listing the gaps between them.
 
-The aggregate is a sorted list of disjoint intervals. Every input partition reduces its rows to one list per entity
-and tile of the axis (``start div tile``), lists of one tile are combined by merging in a reduction tree, and tiles are
-joined through a one-row summary each (the largest end so far), so that an entity that holds a third of all rows is
-spread over its tiles: no task ever holds more than one tile of an entity, whose list has at most ``tile/2`` members.
+The aggregate is a sorted list of disjoint intervals. Every Arrow batch of the input is reduced to one list per entity
+and tile of the axis (``start div tile``), lists of one tile are merged as they come, and tiles are joined through a
+summary of at most three rows each (the largest end so far, the first and the last interval), so that an entity that
+holds a third of all rows is spread over its tiles: no task ever holds more than one tile of an entity, whose list has
+at most ``tile/2`` members, and the summaries of an entity, of which there are at most TILES.
 
 Defined results: intervals are half-open; touching ones merge; rows with a null key, start or end, or with an end not
 after the start, are left out; copies change nothing; an empty table gives no rows.
@@ -15,15 +16,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.runtime import materialize
+from spanforge.runtime import bounded_slices, materialize
 
-#: Width of a tile on the axis; lists of one tile stay small whatever the entity's size.
-TILE = 1 << 20
-#: Partial lists of one tile that a task merges at once; more are merged in two levels.
-FAN_IN = 64
+#: Least width of a tile on the axis, and the most tiles that the observed range is cut into.
+TILE, TILES = 1 << 20, 1 << 16
+#: Bytes of lists that a task merges at once.
+STEP = 32 << 20
 
 
 def merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,41 +65,67 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table([*[groups[k] for k in keys], starts, ends], names=[*keys, "starts", "ends"]).combine_chunks().to_batches()
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with lists that may overlap to rows with disjoint lists."""
-    for b in batches:
-        s, e = b.column("starts"), b.column("ends")
-        gid = np.repeat(np.arange(b.num_rows), s.value_lengths().to_numpy())
-        g, s2, e2 = merge_sorted(gid, s.flatten().to_numpy(), e.flatten().to_numpy())
-        starts, ends = _lists(g, s2, e2, b.num_rows)
-        rest = [c for c in b.schema.names if c not in ("starts", "ends")]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], starts, ends], names=[*rest, "starts", "ends"])
-
+def _merged(b: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
+    """Rows of equal keys that follow each other become one row with disjoint lists."""
+    new = np.ones(b.num_rows, bool)
+    new[1:] = False
+    for name in keys:
+        c = b.column(name)
+        new[1:] |= ~pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    s, e = b.column("starts"), b.column("ends")
+    gid = np.repeat(np.cumsum(new) - 1, s.value_lengths().to_numpy())
+    g, s2, e2 = merge_sorted(gid, s.flatten().to_numpy(), e.flatten().to_numpy())
+    starts, ends = _lists(g, s2, e2, int(new.sum()))
+    at = pa.array(np.flatnonzero(new))
+    return pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keys], starts, ends], names=[*keys, "starts", "ends"])
+
+
+def combine(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key out of rows with lists that may overlap (of partitions, days or loads): they come sorted by key
+    and are merged as they come, so that a task holds one Arrow batch and one open list."""
+    keys = list(keys)
 
-def disjoint_lists(df: DataFrame, keys: Sequence[str], start: str, end: str, tile: int = TILE) -> DataFrame:
-    """The aggregate: keys, tile, starts, ends (sorted, disjoint within the tile of their start)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: pa.RecordBatch | None = None
+        for batch in batches:
+            for b in bounded_slices(batch, STEP):
+                if not b.num_rows:
+                    continue
+                if opened is not None:
+                    b = pa.Table.from_batches([opened, b]).combine_chunks().to_batches()[0]
+                done = _merged(b, keys)
+                opened = done.slice(done.num_rows - 1)
+                if done.num_rows > 1:
+                    yield done.slice(0, done.num_rows - 1)
+        if opened is not None:
+            yield opened
+
+    rows = lists.select(*keys, "starts", "ends").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def disjoint_lists(df: DataFrame, keys: Sequence[str], start: str, end: str, tile: int | None = None) -> DataFrame:
+    """The aggregate: keys, tile, starts, ends (sorted, disjoint within the tile of their start).
+
+    Without ``tile`` its width comes from the observed range (one pass over the starts), so that an entity has at most
+    TILES tiles in any unit. Aggregates that are to be merged need the same tile.
+    """
     keys = list(keys)
-    rows = df.select(*keys, F.floor(F.col(start) / F.lit(tile)).cast("long").alias("tile"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    rows = df.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
     for k in [*keys, "s", "e"]:
         rows = rows.where(F.col(k).isNotNull())
     rows = rows.where(F.col("e") > F.col("s"))
+    if tile is None:
+        low, high = rows.agg(F.min("s"), F.max("s")).first()
+        tile = max(TILE, ((high or 0) - (low or 0)) // TILES + 1)
+    rows = rows.select(*keys, F.expr(f"(s - pmod(s, {int(tile)})) div {int(tile)}").alias("tile"), "s", "e")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", starts array<bigint>, ends array<bigint>"
-    lists = rows.mapInArrow(_partial, schema)
-
-    def combine(part: DataFrame, by: list[str]) -> DataFrame:
-        both = part.groupBy(*by).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-        return both.mapInArrow(_combine, both.schema)
-
-    if rows.rdd.getNumPartitions() > FAN_IN:
-        lists = lists.withColumn("_salt", F.spark_partition_id() % F.lit(FAN_IN))
-        lists = combine(lists, [*keys, "tile", "_salt"]).drop("_salt")
-    return combine(lists, [*keys, "tile"])
+    return combine(rows.mapInArrow(_partial, schema), [*keys, "tile"])
 
 
 def merge_lists(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Two aggregates (of other days or loads) into one."""
-    both = a.unionByName(b).groupBy(*keys, "tile").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return both.mapInArrow(_combine, both.schema)
+    """Two aggregates of the same tile (of other days or loads) into one."""
+    return combine(a.unionByName(b), [*keys, "tile"])
 
 
 def periods_and_gaps(lists: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.runtime import materialize, sized_broadcast
+from spanforge.runtime import lookup, materialize
 
 REASONS = ("quoting", "column_count", "invalid_value")
 _TOKEN = r'(?s)\t|"|[^\t"]+'
@@ -39,40 +39,78 @@ def _step(state: int, t: str) -> tuple[int, bool] | None:
     return (_PLAIN, False) if state in (_START, _PLAIN) else None
 
 
-def parse_cost(shape: str, n_fields: int) -> tuple[int, int, bool]:
-    """(quote edits, delimiter edits, loads without edits).
+_FAR = 1 << 60
+#: (from, to) of inserting a quote before the next symbol.
+_INSERTS = ((_START, _QUOTED), (_AFTER, _QUOTED), (_QUOTED, _AFTER))
 
-    Quote edits weigh more than any number of delimiter edits. ``reach[s]`` is the set of field counts with which
-    state ``s`` can be reached at the present cost, kept as the bits of an integer, so that the delimiter edits that
-    remain are the distance from the wanted count to the nearest set bit.
+
+def parse(shape: str, n_fields: int) -> tuple[int, int, list[tuple[str, int]]]:
+    """(quote edits, delimiter edits, edit operations) of the cheapest script.
+
+    One pass: of every state only the least number of quote edits is kept, as a cheapest path has a cheapest prefix at
+    every state on its way. Quote edits weigh more than any number of delimiter edits; ``reach[s]`` is the set of field
+    counts with which state ``s`` is reached at its least cost, kept as the bits of an integer, so that the delimiter
+    edits that remain are the distance from the wanted count to the nearest set bit.
+
+    An operation is its kind and the symbol of the shape (from 1) that it deletes or stands before; the quote edits are
+    those of one cheapest path, the delimiter edits are made at the end of the line.
     """
-    n = len(shape)
-    prev: list[list[int]] | None = None
-    for cost in range(shape.count('"') + 2):
-        layer = [[0, 0, 0, 0] for _ in range(n + 1)]
-        if cost == 0:
-            layer[0][_START] = 1
-        for i in range(n + 1):
-            here = layer[i]
-            if prev is not None:
-                there = prev[i]
-                here[_QUOTED] |= there[_START] | there[_AFTER]  # insert a quote before this symbol
-                here[_AFTER] |= there[_QUOTED]
-                if i and shape[i - 1] == '"':  # the quote just passed is deleted
-                    before = prev[i - 1]
-                    for s in range(4):
-                        here[s] |= before[s]
-            if i < n:
-                for s in range(4):
-                    if here[s] and (to := _step(s, shape[i])) is not None:
-                        layer[i + 1][to[0]] |= here[s] << 1 if to[1] else here[s]
-        ends = layer[n][_START] | layer[n][_PLAIN] | layer[n][_AFTER]
-        if ends:
-            counts = [k + 1 for k in range(ends.bit_length()) if ends >> k & 1]
-            off = min(abs(k - n_fields) for k in counts)
-            return cost, off, cost == 0 and off == 0
-        prev = layer
-    raise AssertionError("deleting every quote always parses")
+    cost, reach = [0, _FAR, _FAR, _FAR], [1, 0, 0, 0]
+    back: list[list[tuple[int, str] | None]] = []  # per position and state: the state before, and the edit
+
+    def insert(trace: list[tuple[int, str] | None]) -> None:
+        for a, b in _INSERTS:
+            if cost[a] + 1 < cost[b]:
+                cost[b], reach[b], trace[b] = cost[a] + 1, reach[a], (a, "insert_quote")
+            elif cost[a] + 1 == cost[b] < _FAR:
+                reach[b] |= reach[a]
+
+    trace: list[tuple[int, str] | None] = [None] * 4
+    insert(trace)
+    back.append(trace)
+    for t in shape:
+        was, had = cost, reach
+        cost, reach, trace = [_FAR] * 4, [0] * 4, [None] * 4
+        for s in range(4):
+            if was[s] >= _FAR:
+                continue
+            moves = [(to[0], 0, had[s] << 1 if to[1] else had[s], "")] if (to := _step(s, t)) is not None else []
+            if t == '"':
+                moves.append((s, 1, had[s], "delete_quote"))
+            for b, edits, bits, op in moves:
+                if was[s] + edits < cost[b]:
+                    cost[b], reach[b], trace[b] = was[s] + edits, bits, (s, op)
+                elif was[s] + edits == cost[b]:
+                    reach[b] |= bits
+        insert(trace)
+        back.append(trace)
+
+    ends = (_START, _PLAIN, _AFTER)
+    quotes = min(cost[s] for s in ends)
+    bits, counts = 0, []
+    for s in ends:
+        if cost[s] == quotes:
+            bits |= reach[s]
+    # the set bit that is nearest to the wanted one
+    below, above = bits & ((2 << (n_fields - 1)) - 1 if n_fields > 0 else 0), bits >> max(n_fields, 0)
+    if below:
+        counts.append(below.bit_length())
+    if above:
+        counts.append(max(n_fields, 0) + (above & -above).bit_length())
+    count = min(counts, key=lambda k: (abs(k - n_fields), k))
+    ops: list[tuple[str, int]] = []
+    if quotes:
+        s, i = next(s for s in ends if cost[s] == quotes), len(shape)
+        while i > 0 or back[0][s] is not None:
+            before, op = back[i][s]
+            if op:
+                ops.append((op, i if op == "delete_quote" else i + 1))
+            if op != "insert_quote":
+                i -= 1
+            s = before
+    ops.reverse()
+    ops += [("delete_delimiter" if count > n_fields else "insert_delimiter", len(shape) + 1)] * (abs(count - n_fields) if n_fields >= 0 else 0)
+    return quotes, abs(count - n_fields), ops
 
 
 def field_slices(shape: str) -> list[tuple[int, int, bool]]:
@@ -92,9 +130,10 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for shape, n in zip(pdf["shape"], pdf["n_columns"], strict=True):
-            q, d, ok = parse_cost(shape, int(n))
-            rows.append((shape, n, q, d, [{"first": a, "len": b, "quoted": c} for a, b, c in field_slices(shape)] if ok else None))
-        yield pd.DataFrame(rows, columns=["shape", "n_columns", "quote_edits", "delimiter_edits", "slices"])
+            q, d, ops = parse(shape, int(n))
+            ok = q == d == 0
+            rows.append((shape, n, q, d, [{"first": a, "len": b, "quoted": c} for a, b, c in field_slices(shape)] if ok else None, [{"op": o, "at": i} for o, i in ops]))
+        yield pd.DataFrame(rows, columns=["shape", "n_columns", "quote_edits", "delimiter_edits", "slices", "edits"])
 
 
 def is_data(line: Column, column_list: Column) -> Column:
@@ -106,7 +145,7 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
     """Data lines with their verdict.
 
     lines: file_id, line_no, line. files: file_id, kind, column_list, n_columns. contigs: chrom, chr_name, length.
-    Returns file_id, line_no, kind, column_list, fields (null unless the line parses), quote_edits, delimiter_edits, reason
+    Returns file_id, line_no, kind, column_list, fields (null unless the line parses), quote_edits, delimiter_edits, edits, reason
     (null for lines that load, else one of REASONS).
     """
     fl = files.select(F.col("file_id").alias("file_id"), "kind", "column_list", "n_columns").dropDuplicates(["file_id"])
@@ -115,7 +154,7 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
     data = data.withColumn("n_columns", F.coalesce("n_columns", F.lit(-1)))
 
     data = data.withColumn("shape", F.regexp_replace("line", r'[^\t"]+', "x"))
-    shapes = materialize(data.select("shape", "n_columns").distinct().mapInPandas(_resolve, "shape string, n_columns int, quote_edits int, delimiter_edits int, slices array<struct<first:int,len:int,quoted:boolean>>"))
+    shapes = materialize(data.select("shape", "n_columns").distinct().mapInPandas(_resolve, "shape string, n_columns int, quote_edits int, delimiter_edits int, slices array<struct<first:int,len:int,quoted:boolean>>, edits array<struct<op:string,at:int>>"))
     toks = F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0))
 
     def value(s: Column) -> Column:
@@ -123,10 +162,10 @@ def parse_lines(lines: DataFrame, files: DataFrame, contigs: DataFrame) -> DataF
         return F.when(s["quoted"], F.replace(raw, F.lit('""'), F.lit('"'))).otherwise(raw)
 
     # only the cutting differs: where no quote stands, the slices are what lies between the tabs
-    resolved = data.join(sized_broadcast(shapes), ["shape", "n_columns"])
+    resolved = lookup(data, shapes, ["shape", "n_columns"], ["file_id", "line_no"])
     cut = F.when(F.instr("line", '"') == 0, F.split("line", "\t")).otherwise(F.transform("slices", value))
     resolved = resolved.withColumn("toks", F.when(F.instr("line", '"') > 0, toks))
-    return _typed(resolved.select("file_id", "line_no", "kind", "column_list", F.when(F.col("slices").isNotNull(), cut).alias("fields"), "quote_edits", "delimiter_edits"), contigs)
+    return _typed(resolved.select("file_id", "line_no", "kind", "column_list", F.when(F.col("slices").isNotNull(), cut).alias("fields"), "quote_edits", "delimiter_edits", "edits"), contigs)
 
 
 def _at(name: str) -> Column:
@@ -154,7 +193,7 @@ def _typed(parsed: DataFrame, contigs: DataFrame) -> DataFrame:
     strand_ok = F.forall("strands", lambda x: x.isin("+", "-") | (~paired & (x == ".")))
     valid = span_ok("1") & (~paired | span_ok("2")) & strand_ok
     reason = F.when(F.col("quote_edits") > 0, REASONS[0]).when(F.col("delimiter_edits") > 0, REASONS[1]).when(F.coalesce(valid, F.lit(False)), F.lit(None)).otherwise(REASONS[2])
-    return out.select("file_id", "line_no", "kind", "column_list", "fields", "quote_edits", "delimiter_edits", reason.alias("reason"))
+    return out.select("file_id", "line_no", "kind", "column_list", "fields", "quote_edits", "delimiter_edits", "edits", reason.alias("reason"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -162,6 +201,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select("file_id", "line_no", "reason")
 
 
+def edit_scripts(parsed: DataFrame) -> DataFrame:
+    """file_id, line_no, reason, edits of the lines that do not parse: edits are texts like ``insert_quote@3``, the
+    symbols of the line's shape being counted from 1, with the number of times where an edit is repeated at its place."""
+    ops = parsed.where(F.size("edits") > 0).select("file_id", "line_no", "reason", F.posexplode("edits").alias("i", "x")).select("file_id", "line_no", "reason", "i", "x.*")
+    same = ops.groupBy("file_id", "line_no", "reason", "op", "at").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" "))).otherwise(F.lit("")), "op", F.lit("@"), F.col("at").cast("string"))
+    return same.groupBy("file_id", "line_no", "reason").agg(F.sort_array(F.collect_list(F.struct("i", text.alias("t")))).alias("e")).select("file_id", "line_no", "reason", F.array_join(F.transform("e", lambda x: x["t"]), ", ").alias("edits"))
+
+
 def loaded(parsed: DataFrame, kind: str, column_list: str) -> DataFrame:
     """The lines of one kind and layout that load, as a typed table."""
     names = column_list.split(",")

@@ -11,13 +11,14 @@ are no values; repeated rows of one key count once (any copy); strings of any le
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.runtime import materialize, sized_broadcast
+from spanforge.runtime import lookup, materialize
 
 #: Delimiters written as an entity or percent escape, in the order in which they are tried.
 ENCODED = ("&amp;", "&#38;", "&#44;", "&#59;", "&#124;", "%2C", "%2c", "%26", "%3B", "%3b", "%7C", "%7c", "%2F", "%2f", "%09")
@@ -27,9 +28,12 @@ BLANKS = "  "
 MISSING = ("", ".", "-", "NA", "N/A", "nan", "null", "none", "?")
 
 _ENC = "|".join(ENCODED)
+_RUN = r'[^&,;|/\t\n\r"\[\]\\ \x{00A0}]'
+#: A mark for "no value" that holds a delimiter and stands by itself is one run of ordinary characters.
+_MARK = "|".join(rf"(?<!{_RUN})(?i:{re.escape(m)})(?!{_RUN})" for m in MISSING if any(d in m for d in DELIMITERS))
 #: One token: an encoded delimiter, an escaped character, a run of ordinary characters, or a single special one.
-TOKEN = rf'(?s){_ENC}|\\.|(?:(?!{_ENC})[^&,;|/\t\n\r"\[\]\\ \x{{00A0}}])+|.'
-_ORDINARY = rf'(?s)({_ENC}|\\.)|(?:(?!{_ENC})[^&,;|/\t\n\r"\[\]\\ \x{{00A0}}])+'
+TOKEN = rf"(?s){_ENC}|\\.|{_MARK}|(?:(?!{_ENC}){_RUN})+|."
+_ORDINARY = rf"(?s)({_ENC}|\\.)|(?:{_MARK}|(?:(?!{_ENC}){_RUN})+)"
 
 
 def skeleton(value: Column) -> Column:
@@ -127,7 +131,7 @@ def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], min_
     low = [m.lower() for m in missing]
     items = F.filter(F.transform("slots", item), lambda x: ~F.lower(F.trim(x["item"])).isin(low))
     cols = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
-    out = tall.join(sized_broadcast(rules), "skel").withColumn("toks", toks).withColumn("items", items).where(F.size("items") >= min_values)
+    out = lookup(tall, rules, ["skel"], ["v"]).withColumn("toks", toks).withColumn("items", items).where(F.size("items") >= min_values)
     out = out.select(*[f"k{i}" for i in range(len(keys))], "field", F.inline("items"))
     if min_values <= 1:
         one = plain.withColumn("item", F.trim("v")).where(~F.lower("item").isin(low))

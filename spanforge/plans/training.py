@@ -30,9 +30,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return line_errors.rejected(_lines(spark, sf))
 
 
-def p3_loaded_bed(spark: SparkSession, sf: str) -> DataFrame:
-    """The bed lines of six columns that load."""
-    return line_errors.loaded(_lines(spark, sf), "bed", "chrom,start,end,name,score,strand")
+def p3_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """What would have to be inserted or deleted to make the lines parse that do not."""
+    return line_errors.edit_scripts(_lines(spark, sf))
 
 
 def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def overlap_join_mean_std(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_loaded_bed, p3_loaded, p4_found, p4_unified, p5_found, overlap_join_mean_std)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_edits, p3_loaded, p4_found, p4_unified, p5_found, overlap_join_mean_std)}
 
 
 _P5_SOURCE = """
