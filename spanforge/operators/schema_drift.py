@@ -41,9 +41,9 @@ BESIDE = 0.02
 
 def cells(records: DataFrame) -> DataFrame:
     """file_id, name, type (string, number, boolean, array, object; null for a JSON null), value as text."""
-    r = records.select("file_id", F.try_parse_json("payload").alias("v")).where(F.col("v").isNotNull())
-    kind = F.schema_of_variant("v")
-    r = r.where(kind.startswith("OBJECT")).lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    # a payload that parses is an object if it opens with a brace
+    r = records.where(F.col("payload").rlike(r"^\s*\{")).select("file_id", F.try_parse_json("payload").alias("v"))
+    r = r.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()))
     t = F.schema_of_variant("value")
     jtype = F.when(t == "VOID", F.lit(None)).when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number")
     return r.select("file_id", F.col("key").alias("name"), jtype.alias("type"), F.try_variant_get("value", "$", "string").alias("text"))
@@ -68,7 +68,7 @@ def _mask(x: Column) -> Column:
 def sketches(cell: DataFrame, k: int = SKETCH) -> DataFrame:
     """name, token, share: the k masked tokens of smallest hash of each name, with their share among these."""
     parts = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_.:+-]+"), F.lit(0)))
-    tok = cell.where(F.col("type").isNotNull()).select("name", parts.alias("part")).groupBy("name", _mask(F.col("part")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    tok = cell.where(F.col("text").isNotNull()).select("name", parts.alias("part")).groupBy("name", _mask(F.col("part")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("name").orderBy(F.xxhash64("token"), "token")
     low = tok.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return low.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("name"))).select("name", "token", "share")
