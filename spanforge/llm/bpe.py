@@ -1,10 +1,11 @@
 """Encoding a whole corpus with the byte-level BPE of a public tokenizer, by merge replay.
 
-Instead of encoding word by word, the words that are new in a slice of at most 2,000 rows are laid out as one array of
-tokens. An inverted index leads from every mergeable token pair to the positions where it stands; the merges present
-are replayed in rank order over the whole array, and only the neighbours of a merged position are touched. Words stay
-known to the worker from slice to slice and task to task, until more than CACHE_WORDS chunks are known and all are
-forgotten, so a word is encoded again after that and on other workers; no index spans a partition or the corpus. The
+Instead of encoding word by word, the words that are new in a slice of at most SLICE_BYTES bytes of text (or one text)
+are laid out as arrays of tokens, of REPLAY_BYTES bytes (or one word) each. An inverted index leads from every mergeable token pair to the positions where it stands; the merges present
+are replayed in rank order over the whole array, and only the neighbours of a merged position are touched. Words of up
+to CACHED_LENGTH characters stay known to the worker from slice to slice and task to task, until they have CACHE_CHARS
+characters and all are forgotten, so a word is encoded again after that and on other workers; no index spans a partition
+or the corpus. What a worker holds is bounded by these sizes and the longest single text. The
 documents take their ids by word number. The plan is map-only: no shuffle, no collection; the merge table (50,000
 pairs) is broadcast.
 
@@ -18,6 +19,7 @@ import base64
 import heapq
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanforge.runtime import bounded_slices
+
 #: Where the public vocabularies lie; a parameter of every operator.
 TOKENIZER_DIR = os.environ.get("SPANFORGE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the splitting pattern of byte-level BPE vocabularies, with the white space of Unicode spelt out.
 _S = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Words whose ids a worker keeps; beyond that it starts afresh (results don't depend on it).
-CACHE_WORDS = 400_000
+#: Characters of words whose ids a worker keeps; beyond that it starts afresh (results don't depend on it).
+CACHE_CHARS = 8 << 20
+#: Longer chunks are encoded where they stand and not kept.
+CACHED_LENGTH = 64
+#: Bytes of text encoded at once, and bytes of new words laid out as one array.
+SLICE_BYTES, REPLAY_BYTES = 4 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,10 +98,26 @@ def load_merges(name: str = "byte_bpe_50k", directory: str | None = None) -> Mer
 
 def replay(words: list[bytes], m: Merges, table: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after the other, number of ids of each word)."""
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     if table is None:
         table = pair_table(m)
+    parts, lo, size = [], 0, 0
+    for i, w in enumerate(words):
+        if i > lo and size + len(w) > REPLAY_BYTES:
+            parts.append(_replay(words[lo:i], m, table))
+            lo, size = i, 0
+        size += len(w)
+    if lo < len(words):
+        parts.append(_replay(words[lo:], m, table))
+    return tuple(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int32) for k in (0, 1))
+
+
+def _ints(values: np.ndarray | range) -> list[int] | array:
+    """A list, or for one very long word an array, which is slower but takes a fifth of the space."""
+    return list(values) if len(values) <= 4 * REPLAY_BYTES else array("q", np.asarray(values, np.int64).tobytes())
+
+
+def _replay(words: list[bytes], m: Merges, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that are laid out as one array."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     # one gap of -1 between words keeps pairs inside them
     at = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(words)) + 1, lengths)
@@ -112,7 +136,7 @@ def replay(words: list[bytes], m: Merges, table: dict[int, int] | None = None) -
     ranks, products, pairs = m.ranks, m.products, m.pairs
     heap = [(int(ranks[s]), s) for s in index]
     heapq.heapify(heap)
-    tok, nxt, prv = flat.tolist(), list(range(1, size + 1)), list(range(-1, size - 1))
+    tok, nxt, prv = _ints(flat.tolist() if size <= 4 * REPLAY_BYTES else flat), _ints(range(1, size + 1)), _ints(range(-1, size - 1))
     rank_of = ranks.tolist()
     while heap:
         _, s = heapq.heappop(heap)
@@ -181,14 +205,15 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
+        self.kept = 0
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.number: dict[str, int] = {}
-        self.fresh: list[str] = []
         self.word_ids, self.word_count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def chunks(self, text: str | None) -> list[int]:
+    def chunks(self, text: str | None, fresh: list[str], long: list[str]) -> list[int]:
+        """Numbers of the chunks of a text; new ones go to ``fresh``, those too long to be kept to ``long`` (as -1, -2 ..)."""
         if not text:
             return []
         head, *tail = self.cut(text) if self.odd(text) else text.split(" ")
@@ -198,31 +223,60 @@ class Encoder:
             for i, n in enumerate(out):
                 if n < 0:
                     seen, x = (self.later, tail[i - 1]) if i else (self.first, head)
-                    if (n := seen.get(x, -1)) < 0:
+                    if len(x) > CACHED_LENGTH:
+                        long.append(" " + x if i else x)
+                        n = -len(long)
+                    elif (n := seen.get(x, -1)) < 0:
                         n = seen[x] = len(self.first) + len(self.later)
-                        self.fresh.append(" " + x if i else x)
+                        self.kept += len(x) + 8
+                        fresh.append(" " + x if i else x)
                     out[i] = n
         return out
 
+    def learn(self, fresh: list[str]) -> None:
+        """Take in the ids of new chunks."""
+        known, number = len(self.number), self.number
+        of_chunk = [[number.setdefault(w, len(number)) for w in self.words(c)] for c in fresh]
+        ids, count = replay([w.encode("utf-8", "surrogatepass") for w in list(number)[known:]], self.merges, self.table)
+        self.word_ids, self.word_count = np.concatenate([self.word_ids, ids]), np.concatenate([self.word_count, count])
+        ids, n = _gather(self.word_ids, self.word_count, np.fromiter((w for c in of_chunk for w in c), np.int64))
+        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, _per(of_chunk, n)])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
+        if self.kept > CACHE_CHARS:
             self.reset()
-        docs = [np.array(self.chunks(t), np.int32) for t in texts]
-        if self.fresh:
-            known, number = len(self.number), self.number
-            of_chunk = [[number.setdefault(w, len(number)) for w in self.words(c)] for c in self.fresh]
-            fresh = list(number)[known:]
-            ids, count = replay([w.encode("utf-8", "surrogatepass") for w in fresh], self.merges, self.table)
-            self.word_ids, self.word_count = np.concatenate([self.word_ids, ids]), np.concatenate([self.word_count, count])
-            ids, n = _gather(self.word_ids, self.word_count, np.fromiter((w for c in of_chunk for w in c), np.int64))
-            per_chunk = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))
-            total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_chunk)])]
-            self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, np.diff(total).astype(np.int32)])
-            self.fresh = []
-        per_doc = np.fromiter(map(len, docs), np.int64, len(docs))
-        out, n = _gather(self.ids, self.count, np.concatenate(docs) if docs else np.zeros(0, np.int32))
-        return out, np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_doc)])])
+        fresh: list[str] = []
+        long: list[str] = []
+        docs = [self.chunks(t, fresh, long) for t in texts]
+        if fresh:
+            self.learn(fresh)
+        ids, count = self.ids, self.count
+        which = np.fromiter((c for d in docs for c in d), np.int64)
+        if long:
+            number: dict[str, int] = {}
+            of_chunk = [[number.setdefault(w, len(number)) for w in self.words(c)] for c in long]
+            word_ids, word_count = replay([w.encode("utf-8", "surrogatepass") for w in number], self.merges, self.table)
+            more, n = _gather(word_ids, word_count, np.fromiter((w for c in of_chunk for w in c), np.int64))
+            which = np.where(which < 0, len(count) - 1 - which, which)
+            ids, count = np.concatenate([ids, more]), np.concatenate([count, _per(of_chunk, n)])
+        out, n = _gather(ids, count, which)
+        return out, _per(docs, n).astype(np.int64)
+
+
+def _per(groups: list[list[int]], n: np.ndarray) -> np.ndarray:
+    """Sums of ``n``, which has one entry per member of each group, by group."""
+    ends = np.cumsum(np.fromiter(map(len, groups), np.int64, len(groups)))
+    total = np.concatenate([[0], np.cumsum(n)])
+    return np.diff(total[np.concatenate([[0], ends])]).astype(np.int32)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], enc: Encoder) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, ids, number of ids of each text) of the slices of batches (key, text)."""
+    for b in batches:
+        for part in bounded_slices(b, SLICE_BYTES):
+            if part.num_rows:
+                yield part.column(0), *enc.encode(part.column(1).to_pylist())
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -241,13 +295,9 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     name = f"{directory or TOKENIZER_DIR}/{tokenizer}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, shared.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                ids, n = enc.encode(part.column(1).to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[key, "ids"])
+        for keys, ids, n in encoded(batches, encoder(name, shared.value)):
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[key, "ids"])
 
     src = df.select(key, text)
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, ids array<int>")

@@ -16,13 +16,12 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanforge.llm.bpe import TOKENIZER_DIR, encoder, load_merges
+from spanforge.llm.bpe import TOKENIZER_DIR, encoded, encoder, load_merges
 from spanforge.runtime import materialize, sized_broadcast
 
 #: Rows of one length that a task ranks.
@@ -36,12 +35,8 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     name = f"{directory or TOKENIZER_DIR}/{tokenizer}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, shared.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                _, n = enc.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64))], names=[key, "n_tokens"])
+        for keys, _, n in encoded(batches, encoder(name, shared.value)):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=[key, "n_tokens"])
 
     src = df.select(key, text)
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, n_tokens bigint")
