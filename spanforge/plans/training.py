@@ -1,4 +1,4 @@
-"""Queries of the general data-preparation operators (problems 2 to 5) and of the reference operators."""
+"""Queries of the general data-preparation operators (problems 2 to 5)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import interval_periods, line_errors, overlap_join, packed_values, schema_drift
+from spanforge.operators import interval_periods, line_errors, packed_values, schema_drift
 from spanforge.runtime import table
 
 
@@ -66,21 +66,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return interval_periods.periods_and_gaps(interval_periods.disjoint_lists(rows, keys, "s", "e"), keys)
 
 
-def overlap_join_mean_std(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and deviation of the values of the order intervals over each lineitem interval (views of FIXTURES.md)."""
-
-    def intervals(name: str, chrom: str, start: str, end: str, value: str) -> DataFrame:
-        t = table(spark, sf, name).select(F.expr(chrom).alias("Chromosome"), F.expr(start).alias("Start"), F.expr(value).alias("value"), "*").withColumn("End", F.expr(end))
-        return t.groupBy("Chromosome", "Start", "End").agg(F.avg("value").alias("value"))
-
-    a = intervals("lineitem", "concat('chr', l_suppkey % 5 + 1)", "l_partkey * 100 + l_linenumber * 10", "Start + cast(l_quantity as bigint) + 1", "l_extendedprice")
-    b = intervals("orders", "concat('chr', o_custkey % 5 + 1)", "(o_orderkey % 2000) * 100", "Start + 50 + o_orderkey % 100", "o_totalprice")
-    joined = overlap_join.overlap_join(a, b, "value")
-    return joined.select("Chromosome", "Start", "End", "N", *[F.round(c, 4).alias(c) for c in ("value_mean", "value_std")])
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_edits, p3_loaded, p4_found, p4_unified, p5_found, overlap_join_mean_std)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_edits, p3_loaded, p4_found, p4_unified, p5_found)}
 
 
 _P5_SOURCE = """
@@ -104,11 +91,4 @@ SELECT dataset, "sample", chrom, 'period' AS kind, start0, end0 FROM p
 UNION ALL
 SELECT dataset, "sample", chrom, 'gap', prev_end, start0
 FROM (SELECT *, lag(end0) OVER (PARTITION BY dataset, "sample", chrom ORDER BY start0) AS prev_end FROM p) WHERE prev_end IS NOT NULL""",
-        "overlap_join_mean_std": """
-WITH a AS (SELECT DISTINCT 'chr' || (l_suppkey % 5 + 1) AS Chromosome, l_partkey * 100 + l_linenumber * 10 AS "Start",
-           l_partkey * 100 + l_linenumber * 10 + CAST(l_quantity AS BIGINT) + 1 AS "End" FROM lineitem),
-b AS (SELECT 'chr' || (o_custkey % 5 + 1) AS Chromosome, (o_orderkey % 2000) * 100 AS s, (o_orderkey % 2000) * 100 + 50 + o_orderkey % 100 AS e,
-      avg(o_totalprice) AS v FROM orders GROUP BY ALL)
-SELECT a.Chromosome, a."Start", a."End", count(b.s) AS N, round(avg(v), 4) AS value_mean, round(stddev_pop(v), 4) AS value_std
-FROM a LEFT JOIN b ON a.Chromosome = b.Chromosome AND a."Start" < b.e AND b.s < a."End" GROUP BY ALL""",
     }
