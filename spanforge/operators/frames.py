@@ -15,7 +15,7 @@ from spanforge.operators.ordered import numbered, running
 
 COORDS = ("Chromosome", "Start", "End")
 #: Fixed value: names of assembled contigs.
-ASSEMBLED = r"^(chr)?0*([1-9][0-9]?|X|Y)$"
+ASSEMBLED = r"(?i)^(chr)?(0*[1-9][0-9]*|[XY])$"
 
 
 def annots(df: DataFrame) -> list[str]:

@@ -97,7 +97,7 @@ def r004_from_data(spark: SparkSession, sf: str) -> DataFrame:
     return frames.from_data(t, contigs(spark, sf))
 
 
-@add(sql("c", """SELECT Chromosome, CAST(0 AS BIGINT) AS "Start", length AS "End" FROM c WHERE regexp_matches(Chromosome, '^(chr)?0*([1-9][0-9]?|X|Y)$')"""))
+@add(sql("c", """SELECT Chromosome, CAST(0 AS BIGINT) AS "Start", length AS "End" FROM c WHERE regexp_matches(Chromosome, '(?i)^(chr)?(0*[1-9][0-9]*|[XY])$')"""))
 def r006_all_regions(spark: SparkSession, sf: str) -> DataFrame:
     return frames.all_regions(contigs(spark, sf))
 
@@ -167,7 +167,7 @@ def r087_outside_regions(spark: SparkSession, sf: str) -> DataFrame:
     return overlap_join.overlapping(bins(spark, sf).select(*frames.COORDS), regions(spark, sf), negate=True)
 
 
-@add("SELECT chrom, chr_name FROM chromdict WHERE regexp_matches(chr_name, '^(chr)?0*([1-9][0-9]?|X|Y)$')")
+@add("SELECT chrom, chr_name FROM chromdict WHERE regexp_matches(chr_name, '(?i)^(chr)?(0*[1-9][0-9]*|[XY])$')")
 def r088_assembled(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chromdict").where(frames.is_assembled(F.col("chr_name"))).select("chrom", "chr_name")
 
