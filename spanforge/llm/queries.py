@@ -122,6 +122,11 @@ WITH once AS ({source}),
 r AS (SELECT *, {step} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM once)
 SELECT {keys}, max(n) AS n, {cols}, CAST(floor(max(n) / {quantiles.compression()}) * {quantiles.HEIGHT} AS BIGINT) AS rank_error FROM r GROUP BY {keys}"""
 
+    def coded(x: str, step: float) -> str:
+        """The value that stands for x: steps of equal width, then of equal relative width."""
+        top, e = (1 << quantiles.LINEAR_BITS) - 0.5, f"(floor(log2({x} / {step})) - {quantiles.LINEAR_BITS - 1})"
+        return f"CASE WHEN {x} < {top * step} THEN round_even({x} / {step}, 0) * {step} ELSE (floor({x} / pow(2, {e}) / {step}) + 0.5) * {step} * pow(2, {e}) END"
+
     depth = """SELECT run_id, Chromosome, "Start", "sample", run_day, max(depth) AS depth FROM depth_rawdata
                WHERE depth IS NOT NULL AND NOT isnan(depth) GROUP BY ALL"""
     reads = """SELECT variant_id, "sample", allele_class, max(reads) AS reads
@@ -132,8 +137,8 @@ SELECT {keys}, max(n) AS n, {cols}, CAST(floor(max(n) / {quantiles.compression()
         "p1_rank_bound": f"""
 WITH once AS ({depth}), c AS (SELECT count(*) AS n FROM once)
 SELECT q AS quantile, n, CAST(floor(n / {quantiles.compression(COARSE)}) * {quantiles.HEIGHT} AS BIGINT) AS rank_error, true AS within FROM c, (VALUES {names}) AS v(q)""",
-        "p1_depth_all_days": exact(depth, '"sample"', "depth", "round_even(depth / 0.01, 0) * 0.01"),
-        "p1_readcount_all_samples": exact(reads, "allele_class", "reads", "CAST(reads AS DOUBLE)"),
-        "p1_depth_percentiles": exact(depth, '"sample", run_day', "depth", "round_even(depth / 0.01, 0) * 0.01"),
-        "p1_readcount_percentiles": exact(reads, '"sample", allele_class', "reads", "CAST(reads AS DOUBLE)"),
+        "p1_depth_all_days": exact(depth, '"sample"', "depth", coded("depth", DEPTH_STEP)),
+        "p1_readcount_all_samples": exact(reads, "allele_class", "reads", coded("reads", COUNT_STEP)),
+        "p1_depth_percentiles": exact(depth, '"sample", run_day', "depth", coded("depth", DEPTH_STEP)),
+        "p1_readcount_percentiles": exact(reads, '"sample", allele_class', "reads", coded("reads", COUNT_STEP)),
     }
