@@ -22,14 +22,14 @@ def clonal_cnt(depth: Value, c: Value, k: Value, cng: Value) -> Column:
     """Whole number of copies (half to even, at least 0) that explains a depth; 0 where the germline has none."""
     depth, c, k, cng = map(_c, (depth, c, k, cng))
     raw = F.try_divide(F.try_divide(depth, k) - cng * (1 - c), c)
-    return F.when(cng == 0, F.lit(0.0)).otherwise(F.when(raw.isNotNull(), F.greatest(F.rint(raw), F.lit(0.0))))
+    return F.when(cng == 0, F.lit(0.0)).otherwise(F.when(raw.isNotNull(), F.greatest(F.rint(raw) + 0.0, F.lit(0.0))))
 
 
 def clonal_bt(baf: Value, cnt: Value, c: Value, cng: Value, bg: Value) -> Column:
     """Whole number of copies of the minor allele, from 0 to half of CNt; 0 where the germline has no copy of it."""
     baf, cnt, c, cng, bg = map(_c, (baf, cnt, c, cng, bg))
     rest = F.try_divide(F.lit(1.0), c) - 1
-    raw = F.rint(baf * (cnt + cng * rest) - bg * rest)
+    raw = F.rint(baf * (cnt + cng * rest) - bg * rest) + 0.0
     return F.when((cng == 0) | (bg == 0), F.lit(0.0)).otherwise(F.when(raw.isNotNull() & cnt.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.floor(cnt / 2).cast("double"))))
 
 
@@ -139,8 +139,8 @@ def ccf_of_baf(fraction: Value, c: Value, clonal: Value, subclonal: Value, clona
 
 def clonal_fit(ratio: Value, fraction: Value, c: Value, tumor_ploidy: Value, cnn: Value, normal_ploidy: Value, bn: Value = 1) -> Column:
     """struct(CNt, B): whole copies nearest to a depth ratio and a fraction."""
-    cnt = F.greatest(F.rint(cnt_of_depth_ratio(ratio, c, tumor_ploidy, cnn, normal_ploidy)), F.lit(0.0))
-    b = F.rint(b_of_baf(fraction, c, cnt, cnn, bn))
+    cnt = F.greatest(F.rint(cnt_of_depth_ratio(ratio, c, tumor_ploidy, cnn, normal_ploidy)) + 0.0, F.lit(0.0))
+    b = F.rint(b_of_baf(fraction, c, cnt, cnn, bn)) + 0.0
     return F.struct(cnt.alias("CNt"), F.when(b.isNotNull(), F.least(F.greatest(b, F.lit(0.0)), F.floor(cnt / 2).cast("double"))).alias("B"))
 
 

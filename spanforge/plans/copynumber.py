@@ -28,8 +28,8 @@ def seg(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 10 == 0, 0.0).when(k % 10 < 3, 1.0).otherwise(2.0).alias("g"), F.when(k % 10 < 3, 0.0).otherwise(1.0).alias("bg"))
 
 
-CNT = "CASE WHEN g = 0 THEN 0.0::DOUBLE ELSE greatest(round_even((depth / {k} - g * (1 - {c})) / {c}, 0), 0) END"
-BT = "CASE WHEN g = 0 OR bg = 0 THEN 0.0::DOUBLE ELSE least(greatest(round_even(baf * (CNt + g * (1 / {c} - 1)) - bg * (1 / {c} - 1), 0), 0), floor(CNt / 2)) END"
+CNT = "CASE WHEN g = 0 THEN 0.0::DOUBLE ELSE greatest(round_even((depth / {k} - g * (1 - {c})) / {c}, 0) + 0, 0) END"
+BT = "CASE WHEN g = 0 OR bg = 0 THEN 0.0::DOUBLE ELSE least(greatest(round_even(baf * (CNt + g * (1 / {c} - 1)) - bg * (1 / {c} - 1), 0) + 0, 0), floor(CNt / 2)) END"
 FIT = f"t AS (SELECT *, {CNT.format(c=C, k=K)} AS CNt FROM seg), fit AS (SELECT *, CASE WHEN baf IS NULL AND NOT (g = 0 OR bg = 0) THEN NULL ELSE {BT.format(c=C)} END AS Bt FROM t)"
 
 
@@ -89,8 +89,8 @@ def r390_subclones(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", F.round(ratio, 6).alias("ratio"), F.round(frac, 6).alias("baf"), F.round(cn.ccf_of_depth_ratio(ratio, C, P, 2, 3, 1, 2), 6).alias("ccf_depth"), F.round(cn.ccf_of_baf(frac, C, 3, 1, 1, 0, 2, 1), 6).alias("ccf_baf"))
 
 
-@add(f"""WITH {SEG}, r AS (SELECT id, baf, greatest(round_even(((depth / 15) * (2 / 2) * ({C} * {P} + 2 * {1 - C}) - 2 * {1 - C}) / {C}, 0), 0) AS CNt FROM seg)
-SELECT id, CNt, least(greatest(round_even(baf * CNt + (1 / {C} - 1) * (baf * 2 - 1), 0), 0), floor(CNt / 2)) AS B FROM r WHERE baf IS NOT NULL""")
+@add(f"""WITH {SEG}, r AS (SELECT id, baf, greatest(round_even(((depth / 15) * (2 / 2) * ({C} * {P} + 2 * {1 - C}) - 2 * {1 - C}) / {C}, 0) + 0, 0) AS CNt FROM seg)
+SELECT id, CNt, least(greatest(round_even(baf * CNt + (1 / {C} - 1) * (baf * 2 - 1), 0) + 0, 0), floor(CNt / 2)) AS B FROM r WHERE baf IS NOT NULL""")
 def r400_clonal_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Rows 394, 395, 400 and 408."""
     s = seg(spark, sf).where(col("baf").isNotNull())

@@ -1,0 +1 @@
+"""Readers and writers of interval, variant and annotation files."""

@@ -1,0 +1 @@
+"""Operators on unbounded tables, by Structured Streaming."""
