@@ -225,3 +225,118 @@ def typed_text(text: Column) -> Column:
     i, d = text.rlike(r"^[+-]?[0-9]+$"), text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     kind = F.when(text == "None", "none").when(text.isin("True", "False"), "bool").when(i, "int").when(d, "float").when(text.isNotNull(), "str")
     return F.struct(kind.alias("kind"), F.when(i, text.try_cast("long")).alias("integer"), F.when(d, text.try_cast("double")).alias("number"), F.when(text.isin("True", "False"), text == "True").alias("flag"))
+
+
+# ---- with reference sequence ----
+
+
+def _moved(seq: Column, flank: Column, right: bool) -> Column:
+    """How far an inserted or deleted sequence can be moved along a flank: as long as the base that it leaves behind is the
+    one that it takes in."""
+    k, n = F.length(seq), F.length(flank)
+    text = F.concat(seq, flank) if right else F.concat(flank, seq)
+    base = lambda i: F.substr(text, i.cast("int"), F.lit(1))
+    if right:
+        same = F.transform(F.sequence(F.lit(1), n), lambda j: base(j) == base(j + k))
+    else:
+        same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: base(n - j) == base(n - j + k))
+    stop = F.array_position(same, False).cast("int")
+    return F.when(n == 0, 0).when(stop > 0, stop - 1).otherwise(n)
+
+
+def shift_left(pos: Column, ref: Column, alt: Column, before: Column) -> Column:
+    """struct(pos, ref, alt, complete): an insertion or deletion with one kept base, moved as far to the left as the
+    reference allows. ``before`` is the reference that ends with the kept base; complete is false where it was used up (a
+    longer one may move it farther). Other variants stay."""
+    seq = diff_seq(ref, alt)
+    n, k = F.length(before), F.length(seq)
+
+    def moved(m: Column) -> Column:
+        # one base of the flank has to stay as the kept one
+        m = F.least(m, n - 1)
+        kept = F.substr(before, (n - m).cast("int"), F.lit(1))
+        new = F.substr(F.concat(before, seq), (n - m + 1).cast("int"), k)
+        is_ins = F.length(alt) > F.length(ref)
+        return F.struct((pos - m).cast("long").alias("pos"), F.when(is_ins, kept).otherwise(F.concat(kept, new)).alias("ref"), F.when(is_ins, F.concat(kept, new)).otherwise(kept).alias("alt"), (m < n - 1).alias("complete"))
+
+    stay = F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"), F.lit(True).alias("complete"))
+    return F.when(seq.isNull() | (n == 0) | n.isNull(), stay).otherwise(let(_moved(seq, before, False), moved))
+
+
+def shift_right(pos: Column, ref: Column, alt: Column, after: Column) -> Column:
+    """The same to the right; ``after`` is the reference behind the last base of REF."""
+    seq = diff_seq(ref, alt)
+    n, k = F.length(after), F.length(seq)
+
+    def moved(m: Column) -> Column:
+        is_ins = F.length(alt) > F.length(ref)
+        text = F.concat(F.substr(ref, F.lit(1), F.lit(1)), seq, after)
+        kept, new = F.substr(text, (m + 1).cast("int"), F.lit(1)), F.substr(text, (m + 2).cast("int"), k)
+        return F.struct((pos + m).cast("long").alias("pos"), F.when(is_ins, kept).otherwise(F.concat(kept, new)).alias("ref"), F.when(is_ins, F.concat(kept, new)).otherwise(kept).alias("alt"), (m < n).alias("complete"))
+
+    stay = F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"), F.lit(True).alias("complete"))
+    return F.when(seq.isNull() | n.isNull(), stay).otherwise(let(_moved(seq, after, True), moved))
+
+
+def equivalents(pos: Column, ref: Column, alt: Column, before: Column, after: Column) -> Column:
+    """Array of struct(pos, ref, alt): all places of an insertion or deletion that give the same sequence, from left to right."""
+    seq = diff_seq(ref, alt)
+
+    def every(lr: Column) -> Column:
+        text, k = F.concat(before, seq, after), F.length(seq)
+        is_ins = F.length(alt) > F.length(ref)
+
+        def at(m: Column) -> Column:
+            kept, new = F.substr(text, (F.length(before) + m).cast("int"), F.lit(1)), F.substr(text, (F.length(before) + m + 1).cast("int"), k)
+            return F.struct((pos + m).cast("long").alias("pos"), F.when(is_ins, kept).otherwise(F.concat(kept, new)).alias("ref"), F.when(is_ins, F.concat(kept, new)).otherwise(kept).alias("alt"))
+
+        return F.transform(F.sequence(-lr["l"], lr["r"]), at)
+
+    ends = F.struct(F.least(_moved(seq, before, False), F.length(before) - 1).alias("l"), _moved(seq, after, True).alias("r"))
+    alone = F.array(F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt")))
+    return F.when(seq.isNull() | (F.length(before) == 0), alone).otherwise(let(ends, every))
+
+
+def merge_alleles(pos1: Column, ref1: Column, alt1: Column, pos2: Column, ref2: Column, alt2: Column, span: Column) -> Column:
+    """struct(pos, ref, alts): two variants of different haplotypes as one record. ``span`` is the reference from the lesser
+    position to the greater end."""
+    pos = F.least(pos1, pos2)
+
+    def drawn(p: Column, r: Column, a: Column) -> Column:
+        head = F.substr(span, F.lit(1), (p - pos).cast("int"))
+        return F.concat(head, a, F.substr(span, (p - pos + F.length(r) + 1).cast("int")))
+
+    first = (pos1 < pos2) | ((pos1 == pos2) & (alt1 <= alt2))
+    a, b = drawn(pos1, ref1, alt1), drawn(pos2, ref2, alt2)
+    return F.struct(pos.alias("pos"), span.alias("ref"), F.array_distinct(F.when(first, F.array(a, b)).otherwise(F.array(b, a))).alias("alts"))
+
+
+def concat_alleles(pos1: Column, ref1: Column, alt1: Column, pos2: Column, ref2: Column, alt2: Column, between: Column) -> Column:
+    """struct(pos, ref, alt): two variants of one haplotype, the second behind the first, as one; ``between`` is the reference
+    between them. Null where they overlap."""
+    ok = pos1 + F.length(ref1) <= pos2
+    return F.when(ok, F.struct(pos1.alias("pos"), F.concat(ref1, between, ref2).alias("ref"), F.concat(alt1, between, alt2).alias("alt")))
+
+
+def repeat_around(unit: Column, before: Column, after: Column) -> Column:
+    """struct(left, right): how often a unit stands directly before and behind a place."""
+    k = F.length(unit)
+
+    def times(flank: Column, back: bool) -> Column:
+        n = F.floor(F.length(flank) / k).cast("int")
+        piece = lambda i: F.substr(flank, (F.length(flank) - (i + 1) * k + 1 if back else i * k + 1).cast("int"), k)
+        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: piece(i) == unit)
+        stop = F.array_position(same, False).cast("int")
+        return F.when((n <= 0) | (k == 0), 0).when(stop > 0, stop - 1).otherwise(n)
+
+    return F.struct(times(before, True).alias("left"), times(after, False).alias("right"))
+
+
+def microhomology(left_of_1: Column, right_of_1: Column, left_of_2: Column, right_of_2: Column) -> Column:
+    """struct(length, sequence): bases by which the break ends of a join left(1) | right(2) can be moved without changing the
+    joined sequence: to the right while the base behind 1 is the one behind 2, to the left while those before agree."""
+    n = F.least(F.length(right_of_1), F.length(right_of_2))
+    fwd = _common_prefix(F.substr(right_of_1, F.lit(1), n), right_of_2)
+    back = _common_prefix(F.reverse(left_of_1), F.reverse(left_of_2))
+    seq = F.concat(F.reverse(F.substr(F.reverse(left_of_1), F.lit(1), back)), F.substr(right_of_1, F.lit(1), fwd))
+    return F.struct((fwd + back).alias("length"), seq.alias("sequence"))

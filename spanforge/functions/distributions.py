@@ -151,3 +151,61 @@ def peaks(y: np.ndarray, rel_height: float = 0.5) -> list[tuple[int, float, floa
             i = j
         i += 1
     return out
+
+
+def histogram_peaks(values: np.ndarray, bins: int = 10) -> list[tuple[float, float]]:
+    """(middle of the bin, density) of the local maxima of a histogram, whose ends count as neighbours of 0."""
+    v = np.asarray(values, float)
+    v = v[~np.isnan(v)]
+    if not len(v):
+        return []
+    y, edges = np.histogram(v, bins, density=True)
+    found = peaks(np.concatenate([[0.0], y, [0.0]]))
+    return [(float((edges[i - 1] + edges[i]) / 2), h) for i, h, _, _ in found]
+
+
+def without_contained(found: list[tuple[int, float, float, float]]) -> list[tuple[int, float, float, float]]:
+    """Peaks whose extent lies in no other one's."""
+    return [p for p in found if not any(q is not p and q[2] <= p[2] and p[3] <= q[3] and (q[2], q[3]) != (p[2], p[3]) for q in found)]
+
+
+def piecewise_constant(y: np.ndarray, least: int, penalty: float) -> list[int]:
+    """Borders of the piecewise constant function of least squares with a penalty per piece, pieces having at least ``least``
+    values; by dynamic programming over all ends."""
+    y = np.asarray(y, float)
+    n = len(y)
+    if n < 2 * least:
+        return [0, n] if n else [0]
+    s, q = np.concatenate([[0.0], np.cumsum(y)]), np.concatenate([[0.0], np.cumsum(y * y)])
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for e in range(least, n + 1):
+        b = np.arange(0, e - least + 1)
+        cost = best[b] + q[e] - q[b] - (s[e] - s[b]) ** 2 / (e - b) + penalty
+        i = int(np.argmin(cost))
+        best[e], back[e] = cost[i], b[i]
+    out, e = [n], n
+    while e:
+        e = int(back[e])
+        out.append(e)
+    return out[::-1]
+
+
+def generalized_poisson(rng: np.random.Generator, mean: float, omega: float, size: int) -> np.ndarray:
+    """Draws with the mean and the variance mean / (1 - omega)**2, by inversion."""
+    lam, k = mean * (1 - omega), np.arange(int(mean + 40 * np.sqrt(mean) / (1 - omega) + 50))
+    t = lam + omega * k
+    p = np.exp(np.log(lam) + (k - 1) * np.log(t) - t - lgamma(k + 1.0))
+    return np.searchsorted(np.cumsum(p) / p.sum(), rng.random(size))
+
+
+def dirichlet_multinomial(rng: np.random.Generator, n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Counts (rows, classes) of n draws each, from portions that are drawn from a Dirichlet distribution."""
+    return rng.multinomial(np.asarray(n), rng.dirichlet(alpha, len(n)))
+
+
+def simulated_fractions(rng: np.random.Generator, depth: float, portions: np.ndarray, size: int, omega: float = 0.1, concentration: float = 100.0) -> np.ndarray:
+    """Allele fractions (rows, alleles) of ``size`` places of the mean depth; rows of depth 0 are nan."""
+    counts = dirichlet_multinomial(rng, generalized_poisson(rng, depth, omega, size), np.asarray(portions) * concentration)
+    with np.errstate(invalid="ignore"):
+        return counts / counts.sum(1, keepdims=True)
