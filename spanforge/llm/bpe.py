@@ -301,3 +301,27 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
     src = df.select(key, text)
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, ids array<int>")
+
+
+def token_bytes(m: Merges) -> dict[int, bytes]:
+    """The bytes of every token that merges make."""
+    out = {int(i): bytes([b]) for b, i in enumerate(m.byte_ids)}
+    for j in np.argsort(m.ranks, kind="stable"):
+        a, b = int(m.pairs[j]) >> 16, int(m.pairs[j]) & 0xFFFF
+        if a in out and b in out:
+            out.setdefault(int(m.products[j]), out[a] + out[b])
+    return out
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", directory: str | None = None) -> DataFrame:
+    """key, text of every row of key and ids; null ids give null."""
+    shared = df.sparkSession.sparkContext.broadcast(token_bytes(load_merges(tokenizer, directory)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            texts = [None if x is None else b"".join(map(known.__getitem__, x)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    src = df.select(key, "ids")
+    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, text string")

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, packing, quantiles, reading
@@ -92,11 +92,29 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again (a null text comes back empty)."""
+    return bpe.decode_corpus(p6_ids(spark, sf))
+
+
 def p7_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and pieces of documents in containers of each capacity."""
     return packing.pack(packing.token_counts(table(spark, sf, "documents")), table(spark, sf, "pack_capacity"))
 
 
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity: documents assigned, containers filled beyond it, pieces that overlap the one before them, and documents
+    whose pieces don't follow each other."""
+    t = p7_assignment(spark, sf)
+    inside = Window.partitionBy("capacity_id", "container_id").orderBy("offset")
+    along = Window.partitionBy("capacity_id", "doc_id").orderBy("first_token")
+    before, at = F.lag(F.col("offset") + F.col("n_tokens")).over(inside), F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens")).over(along), F.lit(0))
+    real = F.col("n_tokens") > 0
+    t = t.join(table(spark, sf, "pack_capacity").select("capacity_id", "capacity_tokens"), "capacity_id")
+    t = t.select("capacity_id", "doc_id", (F.col("offset") + F.col("n_tokens") > F.col("capacity_tokens")).alias("over"), (real & (F.col("offset") < before)).alias("overlap"), (F.col("first_token") != at).alias("broken"))
+    return t.groupBy("capacity_id").agg(F.count_distinct("doc_id").alias("documents"), *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("over", "overlap", "broken")])
+
+
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Reading level and band of the own prose of every post that has one."""
     return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
@@ -108,7 +126,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_rank_bound, p1_readcount_percentiles, p1_readcount_digests, p1_readcount_all_samples, p6_ids, p7_assignment, p8_levels, p8_found)}
+    return {f.__name__: f for f in (p1_depth_percentiles, p1_depth_digests, p1_depth_all_days, p1_rank_bound, p1_readcount_percentiles, p1_readcount_digests, p1_readcount_all_samples, p6_ids, p6_round_trip, p7_assignment, p7_containers, p8_levels, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -134,6 +152,8 @@ SELECT {keys}, max(n) AS n, {cols}, CAST(floor(max(n) / {quantiles.compression()
                WHERE reads IS NOT NULL GROUP BY ALL"""
     names = ", ".join(f"('{x}')" for x in QUANTILES)
     return {
+        "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_containers": "SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS broken FROM pack_capacity WHERE capacity_tokens >= 1",
         "p1_rank_bound": f"""
 WITH once AS ({depth}), c AS (SELECT count(*) AS n FROM once)
 SELECT q AS quantile, n, CAST(floor(n / {quantiles.compression(COARSE)}) * {quantiles.HEIGHT} AS BIGINT) AS rank_error, true AS within FROM c, (VALUES {names}) AS v(q)""",

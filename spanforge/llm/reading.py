@@ -41,7 +41,7 @@ _CACHE = 200_000
 _NEST = re.compile(r"(?i)(\[/quote\]|</blockquote>)|(\[quote\b[^\]\n]*\]|<blockquote\b[^>]*>)")
 _BLOCKS = re.compile(r"(?is)\[code\b[^\]]*\].*?(?:\[/code\]|\Z)|<(pre|code|script|style)\b[^>]*>.*?(?:</\1>|\Z)|^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\Z)", re.M)
 _BREAK = re.compile(r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|hr|/?h\d)\b[^>]*>")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|\[/?(?:b|i|u|s|url|img|color|size|list|font|center|\*)(?:=[^\]\n]*)?\]|\[(?:img|url)[^\]\n]*\]", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|\[/?(?:b|i|u|s|url|img|color|size|list|font|center|spoiler|\*)(?:=[^\]\n]*)?\]|\[(?:img|url)[^\]\n]*\]", re.I)
 _LINK = re.compile(r"(?i)\b(?:https?://|ftp://|www\.)\S+")
 _QUOTE_LINE = re.compile(r"\s*(?:>|\||: |:$)")
 _HEAD = re.compile(r"(?i)\s*(?:(?:\S+|(?:on|am|le|el)\b.{0,60}) (?:wrote|schrieb|a écrit|escribió)\b.{0,40}:|quoting \S+:|-{3,} ?original (?:post|message).*|@\S+|[\w.-]+>)\s*$")
