@@ -106,7 +106,9 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Per capacity: documents assigned, containers filled beyond it, pieces that overlap the one before them, and documents
     whose pieces don't follow each other."""
     t = p7_assignment(spark, sf)
-    inside = Window.partitionBy("capacity_id", "container_id").orderBy("offset")
+    # documents without tokens, of which any number may lie in a container, are spread
+    spread = F.when(F.col("n_tokens") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    inside = Window.partitionBy("capacity_id", "container_id", spread).orderBy("offset")
     along = Window.partitionBy("capacity_id", "doc_id").orderBy("first_token")
     before, at = F.lag(F.col("offset") + F.col("n_tokens")).over(inside), F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens")).over(along), F.lit(0))
     real = F.col("n_tokens") > 0
