@@ -87,3 +87,9 @@ def is_meaningful(levels: Sequence[Column], oncogenic: Column) -> Column:
     """Whether a variant has a level of implication or is (likely) oncogenic."""
     known = F.coalesce(*[c.cast("string") for c in levels]).isNotNull()
     return known | F.coalesce(oncogenic.isin("Oncogenic", "Likely Oncogenic"), F.lit(False))
+
+
+def codon_frame(before: Column, after: Column) -> Column:
+    """Place (from 0) of the changed base in a codon whose changed bases are in upper case; null for other changes."""
+    place = F.regexp_instr(before, F.lit("[A-Z]")) - 1
+    return F.when((F.length(before) == 3) & (F.length(after) == 3) & (place >= 0), place)

@@ -151,3 +151,14 @@ def candidate_copies(mean: Column, least: int = 5, fraction: float = 0.5) -> Col
     shifts = F.sequence(F.lit(0), n - 1)
     low = F.transform(shifts, lambda i: F.when(bounds["lower"] - i >= 0, bounds["lower"] - i))
     return F.struct(low.alias("lower"), F.transform(shifts, lambda i: bounds["upper"] + i).alias("upper"))
+
+
+def t_penalty(observed: Value, predicted: Value, std: Value, length: Value, df: int = 5) -> Column:
+    """Negative log density of Student's t (scale: deviation over the square root of the length); 0 for a deviation of 0."""
+    import math
+
+    x, p, s, n = map(_c, (observed, predicted, std, length))
+    scale = s / F.sqrt(n)
+    z = F.try_divide(x - p, scale)
+    front = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    return F.when(s == 0, F.lit(0.0)).otherwise(-(F.lit(front) - F.log(scale) - F.lit((df + 1) / 2) * F.log(1 + z * z / df)))

@@ -60,3 +60,10 @@ def clonal_genotype(counts: Column, copies: Column, exclude_other: bool = False)
     kept = F.filter(F.map_entries(counts), lambda e: (e["key"] >= 0) & (F.try_divide(e["value"], n) >= F.try_divide(F.lit(0.4), copies)))
     order = F.array_sort(F.transform(kept, lambda e: F.struct((-e["value"]).alias("c"), e["key"].alias("k"))))
     return F.array_sort(F.transform(F.slice(order, 1, copies.cast("int")), lambda e: e["k"]))
+
+
+def match_allele(read: Column, targets: Column) -> Column:
+    """Allele class of a read by identity of its sequence with one of the targets (map of class to sequence); null unless
+    exactly one is equal."""
+    hits = F.map_keys(F.map_filter(targets, lambda k, v: v == read))
+    return F.when(F.size(hits) == 1, hits[0])

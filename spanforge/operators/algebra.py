@@ -74,14 +74,19 @@ def set_intersect(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def isec_union(left: DataFrame, right: DataFrame) -> DataFrame:
     """Disjoint refinement of two frames without overlaps of their own: common parts and both differences, with in_left
-    and in_right."""
-    a, b = left.select(*COORDS), right.select(*COORDS)
-    parts = [(intersect(a, b), True, True), (subtract(a, b), True, False), (subtract(b, a), False, True)]
-    out = None
-    for t, x, y in parts:
-        t = t.select(*COORDS, F.lit(x).alias("in_left"), F.lit(y).alias("in_right"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    and in_right. A sweep over the borders of both: how many rows are open behind each, and where the next one is."""
+
+    def borders(df: DataFrame, in_left: int, in_right: int) -> DataFrame:
+        ends = F.array(F.struct(F.col("Start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("End").alias("pos"), F.lit(-1).alias("d")))
+        return _valid(df).select("Chromosome", F.explode(ends).alias("x")).select("Chromosome", "x.pos", (F.col("x.d") * in_left).alias("l"), (F.col("x.d") * in_right).alias("r"))
+
+    t = borders(left, 1, 0).unionByName(borders(right, 0, 1)).groupBy("Chromosome", "pos").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    for side in "lr":
+        t = running(t, ["Chromosome"], F.col(side), "sum", f"_{side}", "pos", ("pos",))
+    t = running(t, ["Chromosome"], F.col("pos"), "min", "_next", "pos", ("pos",), reverse=True)
+    inside = [(F.coalesce(f"_{side}", F.lit(0)) + F.col(side) > 0) for side in "lr"]
+    t = t.select("Chromosome", F.col("pos").alias("Start"), F.col("_next").alias("End"), inside[0].alias("in_left"), inside[1].alias("in_right"))
+    return t.where(F.col("End").isNotNull() & (F.col("in_left") | F.col("in_right")))
 
 
 def concat(*frames: DataFrame) -> DataFrame:

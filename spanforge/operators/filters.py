@@ -202,3 +202,19 @@ def pon_filter(mode: str, query: Column, vafs: Column, p: PonParams | None = Non
     """The comparison with a panel by mode: wgs, panelseq_germline or panelseq_somatic."""
     f = {"wgs": pon_wgs, "panelseq_germline": pon_panelseq_germline, "panelseq_somatic": pon_panelseq_somatic}[mode]
     return f(query, vafs) if p is None else f(query, vafs, p)
+
+
+def pon_panelseq_legacy(
+    query: Column, vafs: Column, germline_vaf: float = 0.2, germline_ratio: float = 0.1, lowest_fraction: float = 0.7, lowest_snr: float = 5, nearby_ratio: float = 1.3, nearby_least: int = 5, nearby_snr: float = 3
+) -> Column:
+    """The older comparison: few of the panel look inherited, and the query stands out from the lowest part of the panel and
+    from the fractions near its own (where at least ``nearby_least`` are near)."""
+    n = F.size(vafs)
+    germline = F.size(F.filter(vafs, lambda x: x >= germline_vaf)) / n < germline_ratio
+    k = F.floor(n * F.lit(lowest_fraction)).cast("int")
+    low = numbers.array_mean(F.slice(vafs, 1, F.greatest(k, F.lit(0))))
+    lowest = F.coalesce(F.when((k == 0) | (low == 0), True).otherwise(query / low >= lowest_snr), F.lit(True))
+    near = F.filter(vafs, lambda x: (x <= query * nearby_ratio) & (x >= query / nearby_ratio))
+    around = numbers.array_mean(near)
+    nearby = F.coalesce(F.when((F.size(near) < nearby_least) | (around == 0), True).otherwise(query / around >= nearby_snr), F.lit(True))
+    return _judged(query, vafs, germline & lowest & nearby)

@@ -4,7 +4,7 @@ import pytest
 
 from tests.compare import SF, assert_same
 
-MODULES = ["training", "intervals", "variants", "copynumber", "genomics", "io", "sequences"]
+MODULES = ["training", "intervals", "variants", "copynumber", "genomics", "io", "sequences", "pipelines"]
 BOOKS = [importlib.import_module(f"spanforge.plans.{m}") for m in MODULES]
 QUERIES = {k: v for b in BOOKS for k, v in b.queries().items()}
 SQL = {k: v for b in BOOKS for k, v in b.oracle_sql().items()}
