@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.frames import COORDS, annots
 from spanforge.operators.interval_periods import disjoint_lists, periods_and_gaps
-from spanforge.operators.ordered import running
+from spanforge.operators.ordered import Run, running, running_all
 from spanforge.operators.overlap_join import _valid, overlap_pairs
+from spanforge.runtime import materialize
 
 
 def merge(df: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def cluster(df: DataFrame, slack: int = 0) -> DataFrame:
     t = running(_valid(df), ["Chromosome"], F.col("End"), "max", "_top")
     new = F.coalesce(F.col("Start") > F.col("_top") + slack, F.lit(True)).cast("long")
     # of equal rows the one that opens a group comes first
-    t = running(t.withColumn("_new", new).withColumn("_old", 1 - F.col("_new")), ["Chromosome"], F.col("_new"), "sum", "_groups", order=("Start", "End", "_old"))
+    t = running(materialize(t.withColumn("_new", new).withColumn("_old", 1 - F.col("_new"))), ["Chromosome"], F.col("_new"), "sum", "_groups", order=("Start", "End", "_old"))
     return t.select(*df.columns, (F.coalesce("_groups", F.lit(0)) + F.col("_new")).alias("Cluster"))
 
 
@@ -81,9 +82,8 @@ def isec_union(left: DataFrame, right: DataFrame) -> DataFrame:
         return _valid(df).select("Chromosome", F.explode(ends).alias("x")).select("Chromosome", "x.pos", (F.col("x.d") * in_left).alias("l"), (F.col("x.d") * in_right).alias("r"))
 
     t = borders(left, 1, 0).unionByName(borders(right, 0, 1)).groupBy("Chromosome", "pos").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    for side in "lr":
-        t = running(t, ["Chromosome"], F.col(side), "sum", f"_{side}", "pos", ("pos",))
-    t = running(t, ["Chromosome"], F.col("pos"), "min", "_next", "pos", ("pos",), reverse=True)
+    runs = [Run("_l", F.col("l"), "sum"), Run("_r", F.col("r"), "sum"), Run("_next", F.col("pos"), "min", reverse=True)]
+    t = running_all(t, ["Chromosome"], runs, "pos", ("pos",))
     inside = [(F.coalesce(f"_{side}", F.lit(0)) + F.col(side) > 0) for side in "lr"]
     t = t.select("Chromosome", F.col("pos").alias("Start"), F.col("_next").alias("End"), inside[0].alias("in_left"), inside[1].alias("in_right"))
     return t.where(F.col("End").isNotNull() & (F.col("in_left") | F.col("in_right")))
@@ -136,8 +136,7 @@ def depth_bins(contigs: DataFrame, width: int) -> DataFrame:
 def fill_gaps(df: DataFrame, contigs: DataFrame, edit_ends: bool = True) -> DataFrame:
     """Rows without overlaps, drawn out so that they touch: a border moves to the middle of a gap, rounded down; the first
     and last border of a contig to its ends (unless ``edit_ends`` is off)."""
-    t = running(_valid(df), ["Chromosome"], F.col("End"), "max", "_prev")
-    t = running(t, ["Chromosome"], F.col("Start"), "min", "_next", reverse=True)
+    t = running_all(_valid(df), ["Chromosome"], [Run("_prev", F.col("End"), "max"), Run("_next", F.col("Start"), "min", reverse=True)])
     t = t.join(contigs.select("Chromosome", F.col("length").alias("_length")), "Chromosome", "left")
     lo = F.floor((F.col("_prev") + F.col("Start")) / 2)
     hi = F.floor((F.col("End") + F.col("_next")) / 2)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.frames import COORDS
-from spanforge.operators.ordered import running
+from spanforge.operators.ordered import Run, running, running_all
+from spanforge.runtime import materialize
 
 
 def run_groups(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("Chromosome",), pos: str = "Start", order: Sequence[str] = ("Start", "End"), name: str = "run") -> DataFrame:
@@ -20,7 +21,7 @@ def run_groups(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("Chr
     here = F.struct(*[F.col(c) for c in order], F.struct(*values).alias("_x"))
     t = running(df, keys, here, "max", "_prev", pos, order)
     new = (~F.coalesce(F.struct(*values).eqNullSafe(F.col("_prev._x")), F.lit(False))).cast("long")
-    t = running(t.withColumn("_new", new), keys, F.col("_new"), "sum", "_runs", pos, order)
+    t = running(materialize(t.select(*df.columns, new.alias("_new"))), keys, F.col("_new"), "sum", "_runs", pos, order)
     return t.select(*df.columns, (F.coalesce("_runs", F.lit(0)) + F.col("_new")).alias(name))
 
 
@@ -66,10 +67,9 @@ def incorporate_low(df: DataFrame, contigs: DataFrame, ndata: str, cutoff: int =
     a contig to the one neighbour, which then reaches the end; others are halved at their middle."""
     t = df.select(*COORDS, (F.coalesce(F.col(ndata), F.lit(0)) < cutoff).alias("low"))
     at = F.struct("Start", "End", "low")
-    t = running(t, ["Chromosome"], at, "max", "_prev")
-    t = running(t, ["Chromosome"], at, "min", "_next", reverse=True)
-    t = running(t, ["Chromosome"], F.when(~F.col("low"), F.col("Start")), "max", "_high_before")
-    t = running(t, ["Chromosome"], F.when(~F.col("low"), F.col("Start")), "min", "_high_after", reverse=True)
+    high = F.when(~F.col("low"), F.col("Start"))
+    runs = [Run("_prev", at, "max"), Run("_next", at, "min", reverse=True), Run("_high_before", high, "max"), Run("_high_after", high, "min", reverse=True)]
+    t = running_all(t, ["Chromosome"], runs)
     t = t.join(contigs.select("Chromosome", F.col("length").alias("_length")), "Chromosome", "left")
 
     def middle(s: str) -> Column:

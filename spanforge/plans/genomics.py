@@ -12,7 +12,7 @@ from spanforge.operators import algebra, frames, reference, signatures, structur
 from spanforge.plans import copynumber, intervals, variants
 from spanforge.plans.book import Book
 from spanforge.plans.intervals import sql
-from spanforge.runtime import table
+from spanforge.runtime import materialize, table
 
 BOOK = Book()
 add = BOOK.add
@@ -365,7 +365,7 @@ def r510_merge_adjacent(spark: SparkSession, sf: str) -> DataFrame:
 
     t = running(t, ["Chromosome"], F.struct("Start", "End", "state"), "max", "_p")
     new = ~F.coalesce((col("_p.state") == col("state")) & (col("Start") <= col("_p.End")), F.lit(False))
-    t = running(t.withColumn("_new", new.cast("long")), ["Chromosome"], col("_new"), "sum", "_g").withColumn("g", F.coalesce("_g", F.lit(0)) + col("_new"))
+    t = running(materialize(t.withColumn("_new", new.cast("long"))), ["Chromosome"], col("_new"), "sum", "_g").withColumn("g", F.coalesce("_g", F.lit(0)) + col("_new"))
     return t.groupBy("Chromosome", "g").agg(F.min("Start").alias("Start"), F.max("End").alias("End"), F.first("state").alias("state")).drop("g")
 
 
