@@ -190,3 +190,56 @@ def nmf(x: np.ndarray, rank: int, seed: int = 0, steps: int = 2000, tolerance: f
             last = d
     s = w.sum(0)
     return w / s, h * s[:, None]
+
+
+def id83_class(ref: Column, alt: Column, before: Column, after: Column) -> Column:
+    """One of the 83 classes of insertions and deletions: size, kind, base or repeat (R) or microhomology (M), and number.
+    ``before`` ends with the kept base, ``after`` begins behind REF."""
+    from spanforge.functions.alleles import diff_seq, let, microhomology, repeat_around, to_pyrimidine
+
+    seq, is_ins = diff_seq(ref, alt), F.length(alt) > F.length(ref)
+    n = F.length(seq)
+    size = F.when(n >= 5, "5+").otherwise(n.cast("string"))
+    capped = lambda k: F.when(k >= 5, "5+").otherwise(k.cast("string"))
+
+    def named(x: Column) -> Column:
+        k = x["r"]["left"] + x["r"]["right"]  # units beside the inserted or deleted ones
+        single = F.concat(F.lit("1:"), F.when(is_ins, "Ins:").otherwise("Del:"), to_pyrimidine(seq), F.lit(":"), capped(k))
+        repeat = F.concat(size, F.when(is_ins, F.lit(":Ins:R:")).otherwise(F.lit(":Del:R:")), capped(k))
+        homology = F.least(x["m"], n - 1)
+        micro = F.concat(size, F.lit(":Del:M:"), capped(homology))
+        return F.when(n == 1, single).when(~is_ins & (k == 0) & (homology > 0), micro).otherwise(repeat)
+
+    # bases that the deleted sequence has in common with what follows it, or with what stands before it
+    gone = F.greatest(microhomology(F.lit(""), seq, F.lit(""), after)["length"], microhomology(before, F.lit(""), seq, F.lit(""))["length"])
+    parts = F.struct(repeat_around(seq, before, after).alias("r"), gone.alias("m"))
+    return F.when(n > 0, let(parts, named))
+
+
+def id83_keys() -> list[str]:
+    """The 83 classes."""
+    n = ["0", "1", "2", "3", "4", "5+"]
+    one = [f"1:{k}:{b}:{i}" for k in ("Del", "Ins") for b in "CT" for i in n]
+    more = [f"{s}:{k}:R:{i}" for k in ("Del", "Ins") for s in ("2", "3", "4", "5+") for i in n]
+    most = {"2": ["1"], "3": ["1", "2"], "4": ["1", "2", "3"], "5+": ["1", "2", "3", "4", "5+"]}
+    return one + more + [f"{s}:Del:M:{i}" for s, k in most.items() for i in k]
+
+
+def catalogue_type(classes: Sequence[str]) -> str | None:
+    """sbs96, sbs6, id83 or cn48 by the set of classes; None for another one."""
+    from spanforge.operators.structural import cn48_features
+
+    known = {"sbs96": sbs96_keys(), "sbs6": SUBSTITUTIONS, "id83": id83_keys(), "cn48": cn48_features()}
+    return next((k for k, v in known.items() if set(v) == set(classes)), None)
+
+
+def bootstrap_catalogues(cat: DataFrame, seed: int = 0, sample: str = "sample") -> DataFrame:
+    """Catalogues (sample, class, n) drawn anew per sample; the draw depends on the seed and the sample alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
+        p = pdf.sort_values("class")
+        return p.assign(n=bootstrap(p["n"].to_numpy(), seed + zlib.crc32(str(p[sample].iloc[0]).encode())))
+
+    return cat.groupBy(sample).applyInPandas(run, cat.schema)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import alleles, readstats
-from spanforge.operators import filters, overlap_join, readsupport, reference
-from spanforge.plans import intervals
+from spanforge.operators import filters, frames, overlap_join, readsupport, reference, signatures
+from spanforge.plans import genomics, intervals
 from spanforge.plans.book import Book
 from spanforge.plans.genomics import _BASE, WIDTH, _reference
 from spanforge.plans.intervals import sql
 from spanforge.plans.variants import type_sql
 from spanforge.runtime import table
+from spanforge.sources import text
 
 BOOK = Book()
 add = BOOK.add
@@ -109,6 +110,39 @@ def r113_match_records(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("variant_id", "Chromosome", "POS", "REF", "ALT1").join(y, ["Chromosome", "POS", "REF", "ALT1"]).groupBy("variant_id").agg(F.min("other").alias("hit"), F.count(F.lit(1)).alias("hits"))
 
 
+@add(f"""WITH {_INDELS}, u AS (SELECT variant_id, ins, k, seq, before, after, [reverse(before)[j * k + 1:j * k + k] = reverse(seq) for j in range({FLANK} // k)] AS a, [after[j * k + 1:j * k + k] = seq for j in range({FLANK} // k)] AS b,
+  greatest(len([j for j in range(1, k + 1) if seq[1:j] = after[1:j]]), len([j for j in range(1, k + 1) if reverse(seq)[1:j] = reverse(before)[1:j]])) AS mh FROM indel),
+c AS (SELECT *, coalesce(nullif(list_position(a, false), 0), len(a) + 1) - 1 + coalesce(nullif(list_position(b, false), 0), len(b) + 1) - 1 AS r FROM u),
+n AS (SELECT *, CASE WHEN r >= 5 THEN '5+' ELSE CAST(r AS VARCHAR) END AS rc, least(mh, k - 1) AS m FROM c)
+SELECT variant_id, CASE WHEN k = 1 THEN '1:' || CASE WHEN ins THEN 'Ins:' ELSE 'Del:' END || CASE WHEN seq IN ('A', 'G') THEN translate(seq, 'AG', 'TC') ELSE seq END || ':' || rc WHEN NOT ins AND r = 0 AND m > 0 THEN k || ':Del:M:' || m ELSE k || CASE WHEN ins THEN ':Ins:R:' ELSE ':Del:R:' END || rc END AS class FROM n""")
+def r445_indel_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of insertions and deletions."""
+    return _indels(spark, sf).select("variant_id", signatures.id83_class(*[col(c) for c in ("ref", "alt", "before", "after")]).alias("class"))
+
+
+@add("""SELECT chrom AS Chromosome, CAST(idx AS BIGINT) AS "Start", length AS "End", 'liver=1,lung=' || idx AS activities FROM chromdict""")
+def r505_converted_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features with contigs in the other spelling and in order, and with activities by tissue (rows 505 to 507)."""
+    c = table(spark, sf, "chromdict")
+    f = c.select(col("chr_name").alias("Chromosome"), col("idx").cast("long").alias("Start"), col("length").alias("End"), col("idx").alias("id"))
+    act = c.select(col("idx").alias("id"), F.explode(F.array(F.struct(F.lit("lung").alias("tissue"), col("idx").cast("string").alias("activity")), F.struct(F.lit("liver").alias("tissue"), F.lit("1").alias("activity")))).alias("x")).select("id", "x.*")
+    names = c.select(col("chr_name").alias("name"), col("chrom").alias("Chromosome"))
+    t = text.renamed(text.with_activities(f, act, "id"), names, frames.contig_table(c))
+    return t.select("Chromosome", "Start", "End", F.array_join(F.transform(F.map_entries("activities"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("activities"))
+
+
+@add("SELECT o_custkey % 100 AS user, CAST(sum(o_orderkey) AS BIGINT) AS size FROM orders GROUP BY ALL")
+def r163_sizes_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy((col("o_custkey") % 100).alias("user")).agg(F.sum("o_orderkey").alias("size"))
+
+
+@add()
+def r455_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-class catalogues drawn anew; without SQL: see the tests of the operator."""
+    cat = signatures.catalogue(genomics._called(spark, sf), "sample", col("class"), signatures.SUBSTITUTIONS)
+    return signatures.bootstrap_catalogues(cat, 7)
+
+
 # ---- reads to read support ----
 
 _R = """reads AS (SELECT l_partkey AS variant_id, CAST(l_linenumber % 3 - 1 AS BIGINT) AS allele, l_quantity AS mq, l_extendedprice / 1000 AS bq, CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE 0 END AS clip, CASE WHEN l_suppkey % 2 = 0 THEN 'f1r2' ELSE 'f2r1' END AS orient, l_discount * 10 AS place FROM lineitem)"""

@@ -128,3 +128,22 @@ def save_tables(tables: Mapping[str, DataFrame], folder: str, partition_by: str
 
 def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def renamed(df: DataFrame, names: DataFrame, contigs: DataFrame) -> DataFrame:
+    """A frame with contigs in another spelling (``names``: name, Chromosome) and in contig order; rows on contigs without
+    such a name are left out."""
+    t = df.withColumnRenamed("Chromosome", "_name").join(names.select(F.col("name").alias("_name"), "Chromosome"), "_name")
+    return sort(t.select(*df.columns), contigs)
+
+
+def with_activities(features: DataFrame, activities: DataFrame, key: str) -> DataFrame:
+    """Features with a map of tissue to activity from a tall table (key, tissue, activity)."""
+    a = activities.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tissue", "activity")))).alias("activities"))
+    return features.join(a, key, "left")
+
+
+def write_split(df: DataFrame, path: str, n_files: int | None = None, n_rows: int | None = None) -> None:
+    """A table as about ``n_files`` files, or as files of at most ``n_rows`` rows."""
+    w = (df.repartition(n_files) if n_files else df).write.mode("overwrite")
+    (w.option("maxRecordsPerFile", n_rows) if n_rows else w).parquet(path)
