@@ -50,7 +50,8 @@ def p1_depth_all_days(spark: SparkSession, sf: str) -> DataFrame:
 def p1_rank_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the percentiles of all depths, from digests per sample that compress and are merged, keep their bound."""
     leaves = _depths(spark, sf)
-    whole = quantiles.merge(quantiles.digests(leaves, ["sample"], "leaf", COARSE), [], COARSE)
+    parts = quantiles.digests(leaves, ["sample"], "leaf", COARSE).withColumn("_salt", F.pmod(F.xxhash64("sample"), F.lit(quantiles.SALTS)))
+    whole = quantiles.merge(quantiles.merge(parts, ["_salt"], COARSE), [], COARSE)
     state = whole.first()  # one digest
     if state is None:
         return spark.createDataFrame([], "quantile string, n bigint, rank_error bigint, within boolean")
