@@ -100,7 +100,7 @@ def r400_clonal_fit(spark: SparkSession, sf: str) -> DataFrame:
 @add("""SELECT p_partkey, array_to_string([CASE WHEN lo - i >= 0 THEN CAST(lo - i AS VARCHAR) ELSE '-' END for i in range(n)], ',') AS lower, array_to_string([CAST(up + i AS VARCHAR) for i in range(n)], ',') AS upper
   FROM (SELECT p_partkey, CAST(floor(x) AS BIGINT) AS lo, CAST(CASE WHEN floor(x) = ceil(x) THEN x + 1 ELSE ceil(x) END AS BIGINT) AS up, CAST(greatest(5, round_even(x * 0.5, 0)) AS BIGINT) AS n FROM (SELECT p_partkey, p_size / 4 AS x FROM part))""")
 def r384_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 384 and 401."""
+    """Row 384."""
     x = cn.candidate_copies(col("p_size") / 4)
     text = lambda a: F.array_join(F.transform(a, lambda v: F.coalesce(v.cast("string"), F.lit("-"))), ",")
     return table(spark, sf, "part").select("p_partkey", text(x["lower"]).alias("lower"), text(x["upper"]).alias("upper"))
@@ -125,14 +125,14 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @add(_grid_sql())
 def r379_grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 379, 381 to 383, 396 and 397."""
+    """Rows 379, 381 to 383 and 396."""
     return _scores(spark, sf).select("CNt0", "divisions", F.round("K", 6).alias("K"), F.round("cellularity", 6).alias("cellularity"), F.round("target", 5).alias("target"))
 
 
 @add(f"""WITH s AS ({_grid_sql()}) SELECT CNt0, divisions, target FROM (SELECT *, lag(target) OVER a AS a1, lead(target) OVER a AS a2, lag(target) OVER b AS b1, lead(target) OVER b AS b2 FROM s WINDOW a AS (PARTITION BY CNt0 ORDER BY divisions), b AS (PARTITION BY divisions ORDER BY CNt0))
 WHERE target <= coalesce(a1, target) AND target <= coalesce(a2, target) AND target <= coalesce(b1, target) AND target <= coalesce(b2, target)""")
 def r399_grid_minima(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells that are best along both axes (rows 398, 399 and 415)."""
+    """Cells that are best along both axes (row 399)."""
     t = _scores(spark, sf).withColumn("target", F.round("target", 5))
     return copynumber.grid_minima(t, "CNt0", "divisions", "target").select("CNt0", "divisions", "target")
 
@@ -147,7 +147,7 @@ w AS (SELECT *, list_sum([exp({_LOG_PMF_I.format(p=f'({C} / ({C} * t + {1 - C} *
 x AS (SELECT *, [{_LOG_PMF.format(p=f'({C} * m / ({C} * t + {1 - C} * g))')} for m in ms] AS ls FROM w)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN cdf < 0.05 THEN 1.0::DOUBLE ELSE ms[list_position(ls, list_max(ls))] END AS CNm, round(CASE WHEN cdf < 0.05 THEN k / n * (t + (1 / {C} - 1) * g) ELSE 1 END, 6) AS ccf FROM x""")
 def r378_cancer_cell_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 124, 378 and 404."""
+    """Rows 124 and 378."""
     q, s = col("l_quantity").cast("long"), col("l_suppkey") % 5 + 1
     n, k = q + 10, F.floor(q / (col("l_linenumber") % 4 + 1))
     t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (k / n).alias("vaf"), n.alias("total_depth"), k.alias("alt_depth"), F.lit(2.0).alias("CNg"), s.cast("double").alias("CNt"), F.floor(s / 2).cast("double").alias("Bt"))
@@ -157,7 +157,7 @@ def r378_cancer_cell_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 @add(f"WITH {SEG}, {FIT} SELECT round(sum(CNt * n) / sum(n), 6) AS ploidy, round(sum(abs({K} * (g * {1 - C} + CNt * {C}) - depth) * n), 2) AS misfit FROM fit")
 def r385_average_ploidy(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 145 to 148, 385."""
+    """Rows 147, 148 and 385."""
     n = col("n")
     return fit(spark, sf).agg(F.round(F.sum(col("CNt") * n) / F.sum(n), 6).alias("ploidy"), F.round(F.sum(F.abs(cn.predicted_depth(col("CNt"), K, C, col("g")) - col("depth")) * n), 2).alias("misfit"))
 
@@ -168,7 +168,7 @@ def r385_average_ploidy(spark: SparkSession, sf: str) -> DataFrame:
 @add(sql("d", """SELECT Chromosome, "Start", "End", coalesce(depth IS NULL OR Chromosome = 'chrY' OR depth < 1 OR depth > 500 OR i <= floor(n * 0.05) OR i > n - floor(n * 0.1), true) AS excluded
   FROM (SELECT *, count(depth) OVER (PARTITION BY Chromosome) AS n, row_number() OVER (PARTITION BY Chromosome ORDER BY depth NULLS LAST, "Start", "End") AS i FROM d)""").replace('ORDER BY depth NULLS LAST, "Start", "End"', 'ORDER BY depth NULLS LAST, "Start"'))
 def r086_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 86 and 407."""
+    """Row 86."""
     t = intervals.bins(spark, sf)
     return copynumber.outliers(t, "depth", (0.05, 0.1), 1, 500, drop_y=True).select(*frames.COORDS, "excluded")
 
@@ -186,7 +186,7 @@ def r143_gc_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("""SELECT Chromosome, "Start", "End", round(avg(depth), 5) AS corrector, count(DISTINCT "sample") AS n_samples FROM (SELECT "sample", Chromosome, "Start", "End", max(depth) AS depth FROM depth_rawdata WHERE depth IS NOT NULL AND NOT isnan(depth) AND "sample" IS NOT NULL GROUP BY ALL) GROUP BY Chromosome, "Start", "End" """)
 def r149_depth_corrector(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 149 to 151 and 416."""
+    """Row 149."""
     t = table(spark, sf, "depth_rawdata").where(col("depth").isNotNull() & ~F.isnan("depth") & col("sample").isNotNull()).groupBy("sample", *frames.COORDS).agg(F.max("depth").alias("depth"))
     return copynumber.depth_corrector(t, "sample", "depth").select(*frames.COORDS, F.round("corrector", 5).alias("corrector"), "n_samples")
 
@@ -221,13 +221,13 @@ def r356_onecopy_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 @add()
 def r350_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments of the depth of all bins (rows 350, 352, 355 and 357); deterministic, without SQL: see its tests."""
+    """Segments of the depth of all bins (rows 350 and 352); deterministic, without SQL: see its tests."""
     return copynumber.segment(intervals.bins(spark, sf), "depth")
 
 
 @add()
 def r142_fraction_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Peaks of the minor allele fractions per sample (rows 141, 142, 267, 359 and 360); without SQL: see its tests."""
+    """Peaks of the minor allele fractions per sample (rows 142, 267, 359 and 360); without SQL: see its tests."""
     t = table(spark, sf, "readstats").select("sample", F.try_element_at("rppcounts", F.lit(0)).cast("double").alias("r"), F.try_element_at("rppcounts", F.lit(1)).cast("double").alias("a"))
     x = F.try_divide(col("a"), col("r") + col("a"))
     return copynumber.fraction_peaks(t.withColumn("baf", F.least(x, 1 - x)), ["sample"], "baf")

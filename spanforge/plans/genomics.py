@@ -56,7 +56,7 @@ def r450_break_distances(spark: SparkSession, sf: str) -> DataFrame:
 SELECT variant_id, CASE WHEN a <> {_NORM.format('mc')} THEN 'TRA' WHEN NOT is5 AND m5 THEN 'DEL' WHEN is5 AND NOT m5 THEN 'DUP' ELSE 'INV' END AS kind,
   CASE WHEN is5 THEN CASE WHEN m5 THEN '[' ELSE ']' END || mc || ':' || mp || CASE WHEN m5 THEN '[' ELSE ']' END || t ELSE t || CASE WHEN m5 THEN '[' ELSE ']' END || mc || ':' || mp || CASE WHEN m5 THEN '[' ELSE ']' END END AS alt FROM m WHERE a IS NOT NULL""")
 def r421_breakend_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows 421, 425 and 427."""
+    """Rows 421 and 425."""
     t = table(spark, sf, "variants").where(alleles.is_breakend(col("ALT1")) & col("Chromosome").isNotNull()).select("variant_id", "Chromosome", alleles.parse_breakend(col("ALT1")).alias("b"))
     kind = structural.breakend_type(alleles.normalize_chrom(col("Chromosome"), True), alleles.normalize_chrom(col("b.mate_chrom"), True), col("b.is5"), col("b.mate_is5"))
     return t.select("variant_id", kind.alias("kind"), structural.breakend_alt(col("b.t"), col("b.mate_chrom"), col("b.mate_pos"), col("b.is5"), col("b.mate_is5")).alias("alt"))
@@ -112,7 +112,7 @@ def _reference(df: DataFrame) -> DataFrame:
 k AS (SELECT variant_id, c, CASE WHEN length(ALT1) = 1 AND ALT1 IN ('A', 'C', 'G', 'T') AND c[2] <> ALT1 THEN CASE WHEN c[2] IN ('A', 'G') THEN reverse(translate(c, 'ACGT', 'TGCA')) ELSE c END END AS d, CASE WHEN c[2] IN ('A', 'G') THEN translate(ALT1, 'ACGT', 'TGCA') ELSE ALT1 END AS a FROM v)
 SELECT class, count(variant_id) AS n FROM (SELECT unnest([{', '.join(repr(x) for x in signatures.sbs96_keys())}]) AS class) LEFT JOIN (SELECT variant_id, d[1] || '[' || d[2] || '>' || a || ']' || d[3] AS class FROM k WHERE d IS NOT NULL) USING (class) GROUP BY class""")
 def r162_sbs96_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """96 classes from the bases around each place of an invented reference (rows 162, 245 and 444)."""
+    """96 classes from the bases around each place of an invented reference (rows 162 and 245)."""
     v = table(spark, sf, "variants").where((col("POS") > 1) & col("Chromosome").isNotNull() & col("ALT2").isNull()).select("variant_id", "Chromosome", "POS", "ALT1")
     t = reference.fetch(v, _reference(v), WIDTH, col("POS") - 2, col("POS") + 1, ["variant_id"], "context")
     return signatures.catalogue(t.withColumn("s", F.lit("all")), "s", signatures.sbs96_class(col("context"), col("ALT1")), signatures.sbs96_keys()).select("class", "n")
@@ -234,7 +234,7 @@ def r329_feature_distances(spark: SparkSession, sf: str) -> DataFrame:
   bool_or(x IN ('stop_gained', 'frameshift_variant', 'stop_lost', 'start_lost', 'inframe_insertion', 'inframe_deletion', 'missense_variant', 'protein_altering_variant')) AS altering, any_value(c) AS coding
   FROM (SELECT annot_id, unnest(string_split(Consequence, '&')) AS x, coalesce(BIOTYPE IN ('IG_C_gene', 'IG_D_gene', 'IG_J_gene', 'IG_V_gene', 'ccds_gene', 'mRNA', 'protein_coding'), false) AS c FROM (SELECT DISTINCT annot_id, Consequence, BIOTYPE FROM vep_annotation WHERE regexp_matches(Consequence, '^[A-Za-z0-9_&]+$'))) GROUP BY annot_id""")
 def r333_consequence_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Classes of consequences and transcript types, of fields in plain notation (rows 333, 334 and 336)."""
+    """Classes of consequences and transcript types, of fields in plain notation (rows 333 and 334)."""
     t = table(spark, sf, "vep_annotation").where(col("Consequence").rlike("^[A-Za-z0-9_&]+$")).select("annot_id", "Consequence", "BIOTYPE").distinct()
     f = annotation.consequence_flags(F.split("Consequence", "&"))
     return t.select("annot_id", f["splice_region_involved"].alias("splice"), f["protein_altering"].alias("altering"), F.coalesce(annotation.biotype_flags(col("BIOTYPE"))["coding"], F.lit(False)).alias("coding"))

@@ -39,14 +39,14 @@ def r120_depth_with_fractions(spark: SparkSession, sf: str) -> DataFrame:
 
 @add(sql("d", f"""SELECT x.Chromosome, x."Start", x."End", count(y."Start") AS N, round(avg(y.depth) + 1e-9, 5) AS depth_mean, round(stddev_pop(y.depth) + 1e-9, 5) AS depth_std FROM w AS x LEFT JOIN d AS y ON {_ON} GROUP BY ALL""", _W))
 def r140_segment_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments with mean and deviation of the bins inside (rows 10, 140 and 141)."""
+    """Segments with mean and deviation of the bins inside (row 140)."""
     t = overlap_join.overlap_join(_windows(spark, sf), intervals.bins(spark, sf).drop("MQ"), "depth")
     return t.select(*frames.COORDS, "N", F.round(col("depth_mean") + 1e-9, 5).alias("depth_mean"), F.round(col("depth_std") + 1e-9, 5).alias("depth_std"))
 
 
 @add(sql("r k", """SELECT Chromosome, "Start", "End", in_left, in_right FROM flags WHERE in_left OR in_right""", union_sql("r", "ma"), union_sql("k", "mb"), intervals._CUTS))
 def r121_refined_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Borders of two sets of segments taken together (rows 121, 409 and 413)."""
+    """Borders of two sets of segments taken together (rows 121 and 409)."""
     return algebra.isec_union(algebra.merge(intervals.regions(spark, sf)), algebra.merge(intervals.breaks(spark, sf)))
 
 
@@ -86,7 +86,7 @@ def r380_penalties(spark: SparkSession, sf: str) -> DataFrame:
 @add(sql("d", """SELECT Chromosome, min("Start") AS "Start", arg_max("End", ("Start", "End")) AS "End", any_value(cn) AS cn FROM (SELECT *, sum(CASE WHEN cn IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY Chromosome ORDER BY "Start", "End" ROWS UNBOUNDED PRECEDING) AS g
   FROM (SELECT *, lag(cn) OVER (PARTITION BY Chromosome ORDER BY "Start", "End") AS p FROM (SELECT *, greatest(round_even((depth / 15 - 2 * 0.3) / 0.7, 0) + 0, 0) AS cn FROM d WHERE depth IS NOT NULL))) GROUP BY Chromosome, g"""))
 def r410_merge_by_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Bins with their copies, merged where they are equal (rows 410 and 414)."""
+    """Bins with their copies, merged where they are equal (row 410)."""
     t = intervals.bins(spark, sf).where(col("depth").isNotNull()).select(*frames.COORDS, cn.clonal_cnt(col("depth"), 0.7, 15, 2).alias("cn"))
     return islands.merge_byannot(t, ["cn"])
 
@@ -148,7 +148,7 @@ def r340_codon_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("""SELECT s_nationkey AS gene, bool_or(s_suppkey % 3 = 0) AS amp, bool_or(s_suppkey % 3 = 1) AS del FROM supplier GROUP BY s_nationkey""")
 def r343_gene_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Genes with flags of the kinds of events that matter (rows 343 and 345)."""
+    """Genes with flags of the kinds of events that matter (row 343)."""
     t = table(spark, sf, "supplier").select(col("s_nationkey").alias("gene"), F.when(col("s_suppkey") % 3 == 0, "amp").when(col("s_suppkey") % 3 == 1, "del").alias("kind"))
     return t.groupBy("gene").agg(*[F.bool_or(F.coalesce(col("kind") == k, F.lit(False))).alias(k) for k in ("amp", "del")])
 
@@ -194,7 +194,7 @@ def r458_read_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("""SELECT o_orderkey, p - 1 AS pos0, CAST(c AS INTEGER) AS mismatches FROM (SELECT o_orderkey, o_orderkey AS p, (a <> b)::INT + (a2 <> b2)::INT AS c FROM (SELECT o_orderkey, 'ACGT'[o_orderkey % 4 + 1] AS a, 'ACGT'[o_custkey % 4 + 1] AS b, 'ACGT'[o_orderkey % 3 + 1] AS a2, 'ACGT'[o_custkey % 3 + 1] AS b2 FROM orders))""")
 def r460_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    """Number of mismatches of reads of two aligned bases (rows 460 and 465)."""
+    """Number of mismatches of reads of two aligned bases (row 460)."""
     base = lambda c: F.substr(F.lit("ACGT"), (c + 1).cast("int"), F.lit(1))
     o, c = col("o_orderkey"), col("o_custkey")
     t = table(spark, sf, "orders").select("o_orderkey", (o - 1).alias("pos0"), F.concat(base(o % 4), base(o % 3)).alias("read"), F.concat(base(c % 4), base(c % 3)).alias("ref"))

@@ -91,7 +91,7 @@ def r229_merge_concat(spark: SparkSession, sf: str) -> DataFrame:
 @add(f"""WITH {_INDELS}, x AS (SELECT variant_id, before, behind, (behind || 'ACGT')[2:20] AS r2, 'TT' || before[3:{FLANK - 1}] || before[{FLANK}] AS l2 FROM indel)
 SELECT variant_id, CAST(len(list_filter(range(1, 20), lambda i: behind[1:i] = r2[1:i])) + len(list_filter(range(1, {FLANK} + 1), lambda i: reverse(before)[1:i] = reverse(l2)[1:i])) AS INTEGER) AS n FROM x""")
 def r423_microhomology(spark: SparkSession, sf: str) -> DataFrame:
-    """Bases by which two joined break ends can be moved (rows 422 and 423)."""
+    """Bases by which two joined break ends can be moved (row 423)."""
     v = table(spark, sf, "variants").where((col("POS") > FLANK + 1) & col("Chromosome").isNotNull()).select("variant_id", "Chromosome", "POS")
     t = reference.fetch(v, _reference(v), WIDTH, col("POS") - FLANK, col("POS") + 3 + FLANK, ["variant_id"], "text")
     l1, r1 = F.substr("text", F.lit(1), F.lit(FLANK)), F.substr("text", F.lit(FLANK + 1))
