@@ -296,7 +296,8 @@ def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _moments(labelled: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Moments per fold and band, added up in two steps outside the driver."""
+    """Moments per fold and band, added up in two steps outside the driver; of the symmetric matrices one half is sent."""
+    half = np.triu_indices(D + 1)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -310,18 +311,23 @@ def _moments(labelled: DataFrame) -> dict[tuple[int, int], np.ndarray]:
                         if at.any():
                             m = moments(x[at], p[f"b{b}"].to_numpy()[at])
                             sums[fold, b] = sums.get((fold, b), 0) + m
-        yield pd.DataFrame([(int(f), b, m.tobytes()) for (f, b), m in sums.items()], columns=["fold", "band", "m"])
+        yield pd.DataFrame([(int(f), b, m[half].tobytes()) for (f, b), m in sums.items()], columns=["fold", "band", "m"])
 
     def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((D + 1, D + 1))
+        total = np.zeros(len(half[0]))
         for m in parts["m"]:
-            total += np.frombuffer(m).reshape(D + 1, D + 1)
+            total += np.frombuffer(m)
         return pd.DataFrame([(*key, total.tobytes())], columns=["fold", "band", "m"])
 
     schema = "fold int, band int, m binary"
     # a task sends one matrix per fold and band, so their number is bounded; FOLDS * 3 matrices come to the driver
     rows = labelled.coalesce(48).mapInPandas(part, schema).groupBy("fold", "band").applyInPandas(add, schema).collect()
-    return {(r["fold"], r["band"]): np.frombuffer(bytes(r["m"])).reshape(D + 1, D + 1) for r in rows}
+    out = {}
+    for r in rows:
+        m = np.zeros((D + 1, D + 1))
+        m[half] = np.frombuffer(bytes(r["m"]))
+        out[r["fold"], r["band"]] = m + np.triu(m, 1).T
+    return out
 
 
 def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
