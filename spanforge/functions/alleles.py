@@ -233,15 +233,18 @@ def typed_text(text: Column) -> Column:
 def _moved(seq: Column, flank: Column, right: bool) -> Column:
     """How far an inserted or deleted sequence can be moved along a flank: as long as the base that it leaves behind is the
     one that it takes in."""
-    k, n = F.length(seq), F.length(flank)
-    text = F.concat(seq, flank) if right else F.concat(flank, seq)
-    base = lambda i: F.substr(text, i.cast("int"), F.lit(1))
-    if right:
-        same = F.transform(F.sequence(F.lit(1), n), lambda j: base(j) == base(j + k))
-    else:
-        same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: base(n - j) == base(n - j + k))
-    stop = F.array_position(same, False).cast("int")
-    return F.when(n == 0, 0).when(stop > 0, stop - 1).otherwise(n)
+    parts = F.struct(F.concat(seq, flank).alias("text") if right else F.concat(flank, seq).alias("text"), F.length(seq).alias("k"), F.length(flank).alias("n"))
+
+    def far(x: Column) -> Column:
+        base = lambda i: F.substr(x["text"], i.cast("int"), F.lit(1))
+        if right:
+            same = F.transform(F.sequence(F.lit(1), x["n"]), lambda j: base(j) == base(j + x["k"]))
+        else:
+            same = F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda j: base(x["n"] - j) == base(x["n"] - j + x["k"]))
+        stop = F.array_position(same, False).cast("int")
+        return F.when(x["n"] == 0, 0).when(stop > 0, stop - 1).otherwise(x["n"])
+
+    return let(parts, far)
 
 
 def shift_left(pos: Column, ref: Column, alt: Column, before: Column) -> Column:
@@ -282,17 +285,18 @@ def equivalents(pos: Column, ref: Column, alt: Column, before: Column, after: Co
     """Array of struct(pos, ref, alt): all places of an insertion or deletion that give the same sequence, from left to right."""
     seq = diff_seq(ref, alt)
 
-    def every(lr: Column) -> Column:
-        text, k = F.concat(before, seq, after), F.length(seq)
-        is_ins = F.length(alt) > F.length(ref)
-
+    def every(x: Column) -> Column:
         def at(m: Column) -> Column:
-            kept, new = F.substr(text, (F.length(before) + m).cast("int"), F.lit(1)), F.substr(text, (F.length(before) + m + 1).cast("int"), k)
-            return F.struct((pos + m).cast("long").alias("pos"), F.when(is_ins, kept).otherwise(F.concat(kept, new)).alias("ref"), F.when(is_ins, F.concat(kept, new)).otherwise(kept).alias("alt"))
+            kept, new = F.substr(x["text"], (x["n"] + m).cast("int"), F.lit(1)), F.substr(x["text"], (x["n"] + m + 1).cast("int"), x["k"])
+            both = F.concat(kept, new)
+            return F.struct((x["pos"] + m).cast("long").alias("pos"), F.when(x["ins"], kept).otherwise(both).alias("ref"), F.when(x["ins"], both).otherwise(kept).alias("alt"))
 
-        return F.transform(F.sequence(-lr["l"], lr["r"]), at)
+        return F.transform(F.sequence(-x["l"], x["r"]), at)
 
-    ends = F.struct(F.least(_moved(seq, before, False), F.length(before) - 1).alias("l"), _moved(seq, after, True).alias("r"))
+    ends = F.struct(
+        F.least(_moved(seq, before, False), F.length(before) - 1).alias("l"), _moved(seq, after, True).alias("r"), F.concat(before, seq, after).alias("text"), F.length(seq).alias("k"),
+        F.length(before).alias("n"), pos.alias("pos"), (F.length(alt) > F.length(ref)).alias("ins"),
+    )
     alone = F.array(F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt")))
     return F.when(seq.isNull() | (F.length(before) == 0), alone).otherwise(let(ends, every))
 
@@ -320,16 +324,20 @@ def concat_alleles(pos1: Column, ref1: Column, alt1: Column, pos2: Column, ref2:
 
 def repeat_around(unit: Column, before: Column, after: Column) -> Column:
     """struct(left, right): how often a unit stands directly before and behind a place."""
-    k = F.length(unit)
 
-    def times(flank: Column, back: bool) -> Column:
-        n = F.floor(F.length(flank) / k).cast("int")
-        piece = lambda i: F.substr(flank, (F.length(flank) - (i + 1) * k + 1 if back else i * k + 1).cast("int"), k)
-        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: piece(i) == unit)
-        stop = F.array_position(same, False).cast("int")
-        return F.when((n <= 0) | (k == 0), 0).when(stop > 0, stop - 1).otherwise(n)
+    def both(x: Column) -> Column:
+        k = F.length(x["unit"])
+
+        def times(flank: Column, back: bool) -> Column:
+            n = F.floor(F.length(flank) / k).cast("int")
+            piece = lambda i: F.substr(flank, (F.length(flank) - (i + 1) * k + 1 if back else i * k + 1).cast("int"), k)
+            same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: piece(i) == x["unit"])
+            stop = F.array_position(same, False).cast("int")
+            return F.when((n <= 0) | (k == 0), 0).when(stop > 0, stop - 1).otherwise(n)
+
+        return F.struct(times(x["before"], True).alias("left"), times(x["after"], False).alias("right"))
 
-    return F.struct(times(before, True).alias("left"), times(after, False).alias("right"))
+    return let(F.struct(unit.alias("unit"), before.alias("before"), after.alias("after")), both)
 
 
 def microhomology(left_of_1: Column, right_of_1: Column, left_of_2: Column, right_of_2: Column) -> Column:

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.distributions import binom_test, ks_uniform
+from spanforge.functions.distributions import binom_test
 
 
 def summarize(df: DataFrame, keys: Sequence[str], allele: str, stats: Sequence[str], clip: str | None = None, orient: str | None = None) -> DataFrame:
@@ -35,25 +34,22 @@ def as_map(df: DataFrame, keys: Sequence[str], allele: str, value: str, name: st
 
 
 def uniform_pvalues(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, p_value: Kolmogorov-Smirnov test of places in reads (parts of 1) against the uniform distribution. Values are
-    counted in steps of a thousandth first, so that a task holds at most 1,001 of them per group."""
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = known.groupBy(*keys, F.rint(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * 1000).alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*keys).schema.fields) + ", p_value double"
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("_step")
-        v = np.repeat(p["_step"].to_numpy() / 1000, np.minimum(p["_n"].to_numpy(), 100_000)) if p["_n"].max() <= 100_000 else None
-        if v is None:  # the distance of the distribution functions alone
-            n, x = p["_n"].to_numpy(float), p["_step"].to_numpy() / 1000
-            cdf = np.cumsum(n) / n.sum()
-            d = max((cdf - x).max(), (x - (cdf - n / n.sum())).max())
-            pv = float(np.clip(2 * sum((-1.0) ** (j - 1) * np.exp(-2 * j * j * n.sum() * d * d) for j in range(1, 101)), 0, 1))
-        else:
-            pv = ks_uniform(v)
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], pv)], columns=[*keys, "p_value"])
-
-    return counted.groupBy(*keys).applyInPandas(test, schema)
+    """keys, p_value: Kolmogorov-Smirnov test of places in reads (parts of 1) against the uniform distribution, by the limit
+    distribution. Values are counted in steps of a thousandth first, so a group has at most 1,001 rows, whatever its size."""
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v))
+    step = F.rint(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 1000)
+    t = known.groupBy(*keys, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    t = t.withColumns({"_total": F.sum("_n").over(w), "_upto": F.sum("_n").over(w.orderBy("_step"))})
+    x = F.col("_step") / 1000
+    gap = F.greatest(F.col("_upto") / F.col("_total") - x, x - (F.col("_upto") - F.col("_n")) / F.col("_total"))
+    d = t.groupBy(*keys).agg(F.max(gap).alias("_d"), F.sqrt(F.max("_total")).alias("_s"))
+    z = (F.col("_s") + 0.12 + F.lit(0.11) / F.col("_s")) * F.col("_d")
+    d = d.withColumn("_z", z)
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(j * j * F.col("_z") * F.col("_z") * -2.0))
+    p = F.aggregate(terms, F.lit(0.0), lambda acc, y: acc + y)
+    return d.select(*keys, F.when(F.col("_z") < 0.2, 1.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).alias("p_value"))
 
 
 def orientation_balance(a: Column, b: Column) -> Column:

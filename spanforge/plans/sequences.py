@@ -167,10 +167,14 @@ def r156_orientation(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("variant_id", "allele", F.round(readsupport.orientation_balance(col("f1r2"), col("f2r1")) + 1e-9, 6).alias("p"))
 
 
-@add()
+@add(f"""WITH {_R}, c AS (SELECT variant_id, allele, round_even(least(greatest(place, 0), 1) * 1000, 0) AS step, count(*) AS n FROM reads GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY variant_id, allele) AS total, sum(n) OVER (PARTITION BY variant_id, allele ORDER BY step) AS upto FROM c),
+d AS (SELECT variant_id, allele, (sqrt(max(total)) + 0.12 + 0.11 / sqrt(max(total))) * max(greatest(upto / total - step / 1000, step / 1000 - (upto - n) / total)) AS z FROM w GROUP BY ALL)
+SELECT variant_id, allele, round(CASE WHEN z < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum([CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * z * z) for j in range(1, 101)]))) END + 1e-9, 6) AS p FROM d""")
 def r155_places_in_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Uniformity of the places in reads; without SQL: see the tests of the distributions."""
-    return readsupport.uniform_pvalues(_reads(spark, sf), ["variant_id", "allele"], "place")
+    """Uniformity of the places in reads."""
+    t = readsupport.uniform_pvalues(_reads(spark, sf), ["variant_id", "allele"], "place")
+    return t.select("variant_id", "allele", F.round(col("p_value") + 1e-9, 6).alias("p"))
 
 
 @add(f"""WITH {_R}, s AS (SELECT variant_id, allele, count(*) AS n, avg(mq) AS mq, avg(bq) AS bq FROM reads GROUP BY ALL), k AS (SELECT variant_id, max(mq) FILTER (allele = 1) AS m1, sum(mq * n) FILTER (allele = 0) / sum(n) FILTER (allele = 0) AS m0, max(bq) FILTER (allele = 1) AS b1, sum(bq * n) / sum(n) AS b FROM s GROUP BY variant_id)
