@@ -72,9 +72,14 @@ def compare_coords(idx1: Column, pos1: Column, idx2: Column, pos2: Column) -> Co
 
 def _common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning: the number of leading positions up to the shorter length that agree."""
-    n = F.least(F.length(a), F.length(b))
-    agree = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i))
-    return F.when(n == 0, 0).otherwise(F.size(F.filter(agree, lambda x: x)))
+
+    def agreeing(x: Column) -> Column:
+        n = F.least(F.length(x["a"]), F.length(x["b"]))
+        at = lambda t, i: F.substr(t, i, F.lit(1))
+        stop = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: at(x["a"], i) == at(x["b"], i)), False).cast("int")
+        return F.when(n == 0, 0).when(stop > 0, stop - 1).otherwise(n)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), agreeing)
 
 
 def parsimonious(pos: Column, ref: Column, alt: Column, base_before: Column | None = None) -> Column:
@@ -82,27 +87,32 @@ def parsimonious(pos: Column, ref: Column, alt: Column, base_before: Column | No
 
     If only the end is common to its whole length, the base before is needed (``base_before``, else ``N``).
     """
-    p = _common_prefix(ref, alt)
-    short, lr, la = F.least(F.length(ref), F.length(alt)), F.length(ref), F.length(alt)
-    rest_r, rest_a = F.substr(ref, p + 1), F.substr(alt, p + 1)
-    q = _common_prefix(F.reverse(rest_r), F.reverse(rest_a))
-
-    def cut(at: Column, n_r: Column, n_a: Column, lead: Column | None = None) -> Column:
-        r, a = F.substr(ref, at, n_r), F.substr(alt, at, n_a)
-        r, a = (F.concat(lead, r), F.concat(lead, a)) if lead is not None else (r, a)
-        return F.struct((pos + (at - 1) - (1 if lead is not None else 0)).cast("long").alias("pos"), r.alias("ref"), a.alias("alt"))
-
-    one = F.lit(1)
-    swallowed = q == short - p  # what is left of the shorter allele is the common end
     before = base_before if base_before is not None else F.lit("N")
-    return (
-        F.when(ref.isNull() | alt.isNull() | pos.isNull(), F.lit(None))
-        .when((p == short) & (lr == la), cut(one, one, one))
-        .when(p == short, cut(p, lr - p + 1, la - p + 1))
-        .when(swallowed & (p > 0), cut(p, lr - q - p + 1, la - q - p + 1))
-        .when(swallowed, cut(one, lr - q, la - q, before))
-        .otherwise(cut(p + 1, lr - q - p, la - q - p))
-    )
+
+    def trimmed(x: Column) -> Column:
+        pos, ref, alt, p, q = (x[c] for c in ("pos", "ref", "alt", "p", "q"))
+        short, lr, la, one = F.least(F.length(ref), F.length(alt)), F.length(ref), F.length(alt), F.lit(1)
+
+        def cut(at: Column, n_r: Column, n_a: Column, lead: Column | None = None) -> Column:
+            r, a = F.substr(ref, at, n_r), F.substr(alt, at, n_a)
+            r, a = (F.concat(lead, r), F.concat(lead, a)) if lead is not None else (r, a)
+            return F.struct((pos + (at - 1) - (1 if lead is not None else 0)).cast("long").alias("pos"), r.alias("ref"), a.alias("alt"))
+
+        swallowed = q == short - p  # what is left of the shorter allele is the common end
+        return (
+            F.when(ref.isNull() | alt.isNull() | pos.isNull(), F.lit(None))
+            .when((p == short) & (lr == la), cut(one, one, one))
+            .when(p == short, cut(p, lr - p + 1, la - p + 1))
+            .when(swallowed & (p > 0), cut(p, lr - q - p + 1, la - q - p + 1))
+            .when(swallowed, cut(one, lr - q, la - q, before))
+            .otherwise(cut(p + 1, lr - q - p, la - q - p))
+        )
+
+    def behind(x: Column) -> Column:
+        q = _common_prefix(F.reverse(F.substr(x["ref"], x["p"] + 1)), F.reverse(F.substr(x["alt"], x["p"] + 1)))
+        return let(F.struct(*[x[c].alias(c) for c in ("pos", "ref", "alt", "p")], q.alias("q")), trimmed)
+
+    return let(F.struct(pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), _common_prefix(ref, alt).alias("p")), behind)
 
 
 def diff_seq(ref: Column, alt: Column) -> Column:
